@@ -247,6 +247,12 @@ def remove_spans(docs: DataFrame, *, text_col: str = "text", max_words: int = 50
     return docs.mapInArrow(cut, docs.schema)
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs without contaminated documents; texts of the others stay as they are."""
+    judged = decontaminate(docs.select(F.struct(*docs.columns).alias("_row"), F.col(options.get("text_col", "text")).alias("text")), benchmark, **options)
+    return judged.filter(~F.col("contaminated")).select("_row.*")
+
+
 def contract(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest that op4 returns."""
     found = decontaminate(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrina.llm import chat, decontaminate, simhash, token_counts, token_files
+from vitrina.llm import chat, decontaminate, licenses, mixing, page_text, quality, simhash, token_counts, token_files, toxicity
 from vitrina.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,14 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.contract(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.contract(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = token_counts.load_vocabulary(tokenizer_path("piece_bpe_32k.model"))
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,14 +50,32 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return token_files.contract(read_table(spark, sf_dir, "documents"), f.read())
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.contract(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.contract(read_table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", chat.PLANTED), (-7, 1, "assistant", chat.PLANTED)], "conv_id long, turn long, role string, text string")
     return chat.contract(turns.unionByName(planted))
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.contract(read_table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    found = [op3_token_counts, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_token_files, op9_chat_formatting]
+    found = [op1_quality_rules, op2_toxicity, op3_token_counts, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_token_files, op7_mixing, op8_license_scan, op9_chat_formatting, op10_page_text, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -93,4 +119,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": OP4_SQL, "op9_chat_formatting": OP9_SQL}
+    return {"op1_quality_rules": quality.oracle_sql(), "op4_benchmark_decontamination": OP4_SQL, "op9_chat_formatting": OP9_SQL}
