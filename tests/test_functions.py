@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vitrina.functions import prices
-from vitrina.functions.similarity import lcs, token_set_ratio
+from vitrina.functions.similarity import add_lcs, add_token_set_ratio
 from vitrina.functions.titles import clean_title, normalize_text, normalize_title, normalize_title_exact
 
 NBSP = " "
@@ -115,16 +115,18 @@ def test_common_subsequence(spark):
 
     rng = random.Random(7)
     rows = [("".join(rng.choices("abñc", k=rng.choice([0, 1, 5, 61, 62, 63, 90]))), "".join(rng.choices("abñc", k=rng.choice([0, 2, 30, 62, 64, 80])))) for _ in range(60)]
-    assert [n for (n,) in one(spark, rows, "a string, b string", lcs(F.col("a"), F.col("b")))] == [brute_lcs(a, b) for a, b in rows]
+    got = add_lcs(spark.createDataFrame(rows, "a string, b string"), "a", "b", "n").collect()
+    assert [r["n"] for r in got] == [brute_lcs(a, b) for a, b in rows]
 
 
 def test_token_set_ratio(spark):
     rows = [("clank", "clank en las catacumbas", 100.0), ("clank catacumba", "clank", 100.0), ("clank catacumba", "clank catacumbas", 96.774), ("", "x", 0.0), ("ab", "cd", 0.0)]
-    got = one(spark, [(a, b) for a, b, _ in rows], "a string, b string", token_set_ratio(F.col("a"), F.col("b")), token_set_ratio(F.col("b"), F.col("a")))
+    pairs = spark.createDataFrame([(a, b) for a, b, _ in rows], "a string, b string")
+    got = [(r["x"], r["y"]) for r in add_token_set_ratio(add_token_set_ratio(pairs, "a", "b", "x"), "b", "a", "y").collect()]
     for (_, _, want), (x, y) in zip(rows, got, strict=True):
         assert math.isclose(x, want, abs_tol=1e-3) and x == y
-    below = one(spark, [("abcdef", "z")], "a string, b string", token_set_ratio(F.col("a"), F.col("b"), 80.0))
-    assert below == [(None,)]
+    below = add_token_set_ratio(spark.createDataFrame([("abcdef", "z")], "a string, b string"), "a", "b", "x", 80.0)
+    assert below.first()["x"] is None
 
 
 def test_bound_errors():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Phrases that mean "sold out".
@@ -15,17 +15,28 @@ def parse_price(text: Column) -> Column:
     With both separators the later one is decimal. With one kind, exactly three digits after the
     last mean thousands, anything else a decimal part.
     """
-    run = F.regexp_extract(text, r"[\d.,]+", 0)
-    dots, commas = run.contains("."), run.contains(",")
-    tail = F.regexp_extract(run, r"[.,](\d*)$", 1)
-    comma_last = run.rlike(r",[^.]*$")
-    no_dots, no_commas = F.regexp_replace(run, r"\.", ""), F.regexp_replace(run, ",", "")
+    return _number(F.regexp_extract(text, r"[\d.,]+", 0))
+
+
+def _number(run: Column) -> Column:
+    """The number that a run of digits and separators writes."""
+    both = run.contains(".") & run.contains(",")
+    thousands = run.rlike(r"[.,]\d{3}$")
     plain = (
-        F.when(dots & commas, F.when(comma_last, F.replace(no_dots, F.lit(","), F.lit("."))).otherwise(no_commas))
-        .when((dots | commas) & (F.length(tail) == 3), F.regexp_replace(run, "[.,]", ""))
+        F.when(both & run.rlike(r",[^.]*$"), F.replace(F.replace(run, F.lit(".")), F.lit(","), F.lit(".")))
+        .when(both, F.replace(run, F.lit(",")))
+        .when(thousands, F.regexp_replace(run, "[.,]", ""))
         .otherwise(F.replace(run, F.lit(","), F.lit(".")))
     )
-    return F.when(plain.rlike(r"\d"), plain).try_cast("double")
+    return F.when(run.rlike(r"\d"), plain).try_cast("double")
+
+
+def add_prices(offers: DataFrame) -> DataFrame:
+    """offers with _o and _c, original and current price as numbers, and _pct, the percent off.
+    Each step is a column of its own: sorting and formatting then read numbers."""
+    runs = offers.withColumns({"_ro": F.regexp_extract("original_price", r"[\d.,]+", 0), "_rc": F.regexp_extract("current_price", r"[\d.,]+", 0)})
+    numbers = runs.withColumns({"_o": _number(F.col("_ro")), "_c": _number(F.col("_rc"))}).drop("_ro", "_rc")
+    return numbers.withColumn("_pct", discount_pct(F.col("_o"), F.col("_c")))
 
 
 def filter_price(text: Column) -> Column:
@@ -41,8 +52,11 @@ def discount_pct(original: Column, current: Column) -> Column:
 
 
 def format_discount(original: Column, current: Column) -> Column:
-    pct = discount_pct(original, current)
-    return F.when(pct.isNull(), F.lit("-")).otherwise(F.concat(F.lit("-"), F.format_number(pct, 0), F.lit("%")))
+    return show_pct(discount_pct(original, current))
+
+
+def show_pct(pct: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("-"), F.format_number(pct, 0), F.lit("%")), F.lit("-"))
 
 
 def price_pair(original: Column, current: Column) -> tuple[Column, Column]:

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrina.functions.prices import discount_pct, filter_price, format_discount, nonzero, parse_price
-from vitrina.functions.similarity import token_set_ratio
+from vitrina.functions.prices import add_prices, filter_price, nonzero, show_pct
+from vitrina.functions.similarity import add_token_set_ratio
 from vitrina.functions.titles import clean_title, normalize_text, normalize_title
 from vitrina.schema import AVAILABLE, SOLD_OUT
 
@@ -39,13 +39,12 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def sort_keys(by: str) -> list[Column]:
-    """Orders over raw price texts; missing and zero prices go last."""
-    original, current = parse_price(F.col("original_price")), parse_price(F.col("current_price"))
+    """Orders over offers with prices (add_prices); missing and zero prices go last."""
     keys = {
-        "discount": F.coalesce(discount_pct(original, current), F.lit(-1.0)).desc(),
-        "price": F.coalesce(nonzero(current), nonzero(original)).desc_nulls_last(),
-        "offer": nonzero(current).desc_nulls_last(),
-        "original": nonzero(original).asc_nulls_last(),
+        "discount": F.coalesce("_pct", F.lit(-1.0)).desc(),
+        "price": F.coalesce(nonzero(F.col("_c")), nonzero(F.col("_o"))).desc_nulls_last(),
+        "offer": nonzero(F.col("_c")).desc_nulls_last(),
+        "original": nonzero(F.col("_o")).asc_nulls_last(),
         "store": F.col("store").asc(),
     }
     if by not in keys:
@@ -54,7 +53,8 @@ def sort_keys(by: str) -> list[Column]:
 
 
 def sort_offers(offers: DataFrame, by: str = "discount") -> DataFrame:
-    return offers.orderBy(*sort_keys(by))
+    """offers with prices, in order."""
+    return add_prices(offers).orderBy(*sort_keys(by))
 
 
 # -- search -------------------------------------------------------------------------------------
@@ -69,9 +69,8 @@ def titles_by_norm(offers: DataFrame) -> DataFrame:
 def search(offers: DataFrame, query: str, cutoff: float = CUTOFF) -> DataFrame:
     """title, score of every product at least `cutoff` similar, best first; no limit."""
     wanted = normalize_text(query)
-    scored = titles_by_norm(offers).withColumn("score", token_set_ratio(F.lit(wanted), F.col("norm"), cutoff))
-    hits = scored.filter(F.col("score") >= cutoff)
-    return hits.orderBy(F.desc("score"), "registry_pos", "row_pos", "norm").select("title", "score")
+    scored = add_token_set_ratio(titles_by_norm(offers).withColumn("_wanted", F.lit(wanted)), "_wanted", "norm", "score", cutoff)
+    return _at_least(scored, cutoff).orderBy(F.desc("score"), "registry_pos", "row_pos", "norm").select("title", "score")
 
 
 def search_many(offers: DataFrame, queries: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -83,8 +82,14 @@ def search_many(offers: DataFrame, queries: DataFrame, cutoff: float = CUTOFF) -
     """
     wanted = queries.select("query", normalize_title(F.col("query")).alias("wanted")).distinct()
     both = titles_by_norm(offers).join(F.broadcast(wanted), F.length("wanted") > 0)
-    scored = both.withColumn("score", token_set_ratio(F.col("wanted"), F.col("norm"), cutoff))
-    return scored.filter(F.col("score") >= cutoff).select("query", "title", "norm", "score")
+    scored = add_token_set_ratio(both, "wanted", "norm", "score", cutoff)
+    return _at_least(scored, cutoff).select("query", "title", "norm", "score")
+
+
+def _at_least(scored: DataFrame, cutoff: float) -> DataFrame:
+    """Rows that reach the cutoff. The row number keeps the filter above the steps of the score; pushed
+    below, it would hold the whole score once more at every step."""
+    return scored.withColumn("_row", F.monotonically_increasing_id()).filter((F.col("score") >= cutoff) & (F.col("_row") >= 0)).drop("_row")
 
 
 # -- presentation -------------------------------------------------------------------------------
@@ -101,7 +106,8 @@ LABELS = {
 
 
 def with_discount(offers: DataFrame) -> DataFrame:
-    return offers.withColumn("descuento", format_discount(parse_price(F.col("original_price")), parse_price(F.col("current_price"))))
+    """Offers with prices, with their discount as it is shown."""
+    return offers.withColumn("descuento", show_pct(F.col("_pct")))
 
 
 def shown_url(url: Column) -> Column:
@@ -225,4 +231,4 @@ def merge_into(path: str, fresh: DataFrame, targets: DataFrame) -> None:
 
 def ranked(offers: DataFrame, by: str, partition: str = "store") -> DataFrame:
     """offers with rank, their place in their store under a sort key."""
-    return offers.withColumn("rank", F.row_number().over(Window.partitionBy(partition).orderBy(*sort_keys(by), F.col("registry_pos"), F.col("row_pos"))))
+    return add_prices(offers).withColumn("rank", F.row_number().over(Window.partitionBy(partition).orderBy(*sort_keys(by), F.col("registry_pos"), F.col("row_pos"))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrina.functions import prices
-from vitrina.functions.similarity import lcs, token_set_ratio
+from vitrina.functions.similarity import add_lcs, add_token_set_ratio
 from vitrina.functions.titles import clean_title, normalize_title
 from vitrina.operators import catalog, extract
 from vitrina.plans.offers import OFFERS_SQL, RAW_SQL, offers, raw_offers, sql_clean, sql_norm, sql_price, stores
@@ -18,9 +18,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 STORE = "Supplier#000000003"
-ASKED = "lavender steel"
+ASKED = "blue widgit"
 #: Titles that several queries search for.
-QUERIES = ["blue steel", "steel blue (en español)", "Green Tin 2da edición", "lavender", "bleu stel", ""]
+QUERIES = ["blue widget", "widget blue (en español)", "Cold Gizmo 2ª edición", "anvil", "smal bolt", "rod rign", ""]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -85,8 +85,8 @@ def fn_filter_price(spark, sf_dir):
 
 @query(OFFERS_SQL + " SELECT row_pos, pct, descuento FROM shown")
 def fn_discount(spark, sf_dir):
-    original, current = prices.parse_price(F.col("original_price")), prices.parse_price(F.col("current_price"))
-    return offers(spark, sf_dir).select("row_pos", prices.discount_pct(original, current).alias("pct"), prices.format_discount(original, current).alias("descuento"))
+    priced = prices.add_prices(offers(spark, sf_dir))
+    return priced.select("row_pos", F.col("_pct").alias("pct"), prices.show_pct(F.col("_pct")).alias("descuento"))
 
 
 @query(f"SELECT conv_id, turn, {sql_norm('text')} AS norm FROM (SELECT conv_id, turn, left(text, 60) AS text FROM conversations)")
@@ -230,13 +230,13 @@ def search_titles(spark, sf_dir):
 def fn_token_set_ratio(spark, sf_dir):
     names = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").distinct()
     pairs = names.select(F.col("p_name").alias("wanted")).join(F.broadcast(names.select(F.col("p_name").alias("norm"))), F.lit(True))
-    return pairs.select("wanted", "norm", F.round(token_set_ratio(F.col("wanted"), F.col("norm")), 9).alias("score"))
+    return add_token_set_ratio(pairs, "wanted", "norm", "score").withColumn("score", F.round("score", 9))
 
 
 @query(f"SELECT item_id, x, y, {LCS_SQL}::INT AS n FROM (SELECT item_id, left(text, 40) AS x, substr(text, 21, 90) AS y FROM benchmark)")
 def fn_common_subsequence(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.substr("text", F.lit(1), F.lit(40)).alias("x"), F.substr("text", F.lit(21), F.lit(90)).alias("y"))
-    return items.withColumn("n", lcs(F.col("x"), F.col("y")))
+    return add_lcs(items, "x", "y", "n")
 
 
 # -- price tables, deals, lists -------------------------------------------------------------------
