@@ -2,8 +2,9 @@
 
 Examples are labelled documents. A term is a whole word or a word's first 4, 5 or 6 bytes; the terms
 used are those that toxic examples have significantly more often (one-sided two-proportion test,
-Bonferroni over all tested terms). Vectors are TF-IDF over these terms, of unit length, so cosine is
-a dot product. The inverted index of the examples keeps, for each term and block of 64 examples, the
+Bonferroni over all tested terms, and in at least min_share of them). Vectors are TF-IDF over these
+terms and one more for all other words together, so that a few hits in a long text are far from as many in
+a short one; they have unit length, so cosine is a dot product. The inverted index of the examples keeps, for each term and block of 64 examples, the
 largest weight: the sum of these bounds every cosine in a block, blocks are read from the highest bound
 on, and reading stops when no block can beat the k-th neighbour. The neighbours are exact.
 
@@ -107,13 +108,17 @@ class Model:
         self.heads = frozenset(t.rstrip(b"$")[:4] for t in terms)
         n = len(examples)
         self.idf = [math.log((1 + n) / (1 + d)) + 1 for d in df]
+        #: The last dimension: all words that are no term.
+        self.others = len(terms)
+        self.idf.append(1.0)
         used = [(i, y, v) for i, y, c in examples if (v := self._unit(c))]
         # similar examples side by side, so that whole blocks can be skipped
-        used.sort(key=lambda x: (max(x[2], key=lambda t: (x[2][t], -t)), x[0]))
+        strongest = lambda v: max(v, key=lambda t: (t != self.others, v[t], -t))
+        used.sort(key=lambda x: (strongest(x[2]), x[0]))
         self.ids, self.toxic = [x[0] for x in used], [x[1] for x in used]
         self.stands_for = [share[y] for y in self.toxic]
-        self.index = Index([x[2] for x in used], len(terms))
-        none = [sum(share[y] for _, y, c in examples if y == k and not c) for k in (0, 1)]
+        self.index = Index([x[2] for x in used], len(terms) + 1)
+        none = [sum(share[y] for _, y, c in examples if y == k and not set(c) - {self.others}) for k in (0, 1)]
         self.bare = (none[1] + 0.5) / (sum(none) + 1) if examples and (none[0] or none[1]) else 0.0
         self.prior = sum(w for w, y in zip(self.stands_for, self.toxic, strict=True) if y) / max(1e-9, sum(self.stands_for))
         self.curve = (1.0, 0.0)
@@ -121,12 +126,17 @@ class Model:
         self.cache: dict = {}
 
     def counts(self, words: list[bytes]) -> dict[int, int]:
+        """Terms of a text and how often they occur; empty without any, else with its other words."""
         heads, number = self.heads, self.number
         found: Counter = Counter()
+        hits = 0
         for w, n in Counter([w for w in words if w[:4] in heads]).items():
-            for t in terms_of(w):
-                if (i := number.get(t)) is not None:
-                    found[i] += n
+            own = [i for t in terms_of(w) if (i := number.get(t)) is not None]
+            hits += n * bool(own)
+            for i in own:
+                found[i] += n
+        if found and len(words) > hits:
+            found[self.others] = len(words) - hits
         return dict(found)
 
     def _unit(self, counts: dict[int, int]) -> dict[int, float]:
@@ -196,7 +206,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([seen[0][t] for t in part], pa.int64()), pa.array([seen[1][t] for t in part], pa.int64())], ["term", "clean", "toxic"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, max_clean: int = 4000, max_terms: int = 4096, alpha: float = 0.05, k: int = 15) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, max_clean: int = 4000, max_terms: int = 4096, min_share: float = 0.01, alpha: float = 0.05, k: int = 15) -> Model:
     """docs (doc_id, text) and labels (doc_id, toxic 0 or 1), all of which may be learned from."""
     one = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     one = scratch(one.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labels")
@@ -213,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, max_clean:
     bar = NormalDist().inv_cdf(1 - alpha / max(1, counted.count()))
     p = (F.col("clean") + F.col("toxic")) / float(max(1, n0 + n1))
     z = (F.col("toxic") / float(max(1, n1)) - F.col("clean") / float(max(1, n0))) / F.sqrt(p * (1 - p) * (1.0 / max(1, n0) + 1.0 / max(1, n1)) + 1e-12)
-    picked = counted.withColumn("z", z).filter((F.col("z") > bar) & (F.col("toxic") >= 3)).orderBy(F.desc("z"), "term").limit(max_terms).collect()
+    picked = counted.withColumn("z", z).filter((F.col("z") > bar) & (F.col("toxic") >= max(3, min_share * n1))).orderBy(F.desc("z"), "term").limit(max_terms).collect()
     terms = [bytes(r["term"]) for r in picked]
     df = [r["clean"] + r["toxic"] for r in picked]
     known = {t: i for i, t in enumerate(terms)}
@@ -223,10 +233,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, max_clean:
             out = []
             for text in texts_of(batch, "text"):
                 found: Counter = Counter()
+                others = 0
                 for w, times in Counter(split_words(text)).items():
-                    for t in terms_of(w):
-                        if t in known:
-                            found[known[t]] += times
+                    own = [known[t] for t in terms_of(w) if t in known]
+                    others += times * (not own)
+                    for i in own:
+                        found[i] += times
+                if others:
+                    found[len(known)] = others
                 out.append(list(found.items()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[t for t, _ in x] for x in out], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in out], pa.list_(pa.int32()))], ["doc_id", "toxic", "t", "c"])
 
