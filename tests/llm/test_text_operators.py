@@ -57,7 +57,8 @@ def test_token_count_ties():
         t, own = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=False)), token_counts.Counter(vocabulary)
         for _ in range(10):
             word = "▁" + "".join(rng.choices("ab", k=rng.randint(0, 6)))
-            assert own.count(word) == len(t.encode(word, add_special_tokens=False).ids) or "<unk>" in t.encode(word).tokens
+            ids = t.encode(word, add_special_tokens=False).ids
+            assert 0 in ids or own.count(word) == len(ids)
 
 
 def test_token_counts_empty_table(spark, vocabulary):
@@ -250,9 +251,9 @@ def test_huffman_code():
     rng = random.Random(9)
     for n in (2, 3, 7, 100, 2000):
         counts = [rng.randint(1, 10**6) for _ in range(n)]
+        assert sum(c * int(x) for c, x in zip(counts, token_files.code_lengths(counts, 40), strict=True)) == huffman_cost(counts)
         lengths = token_files.code_lengths(counts)
         assert sum(2.0 ** -int(x) for x in lengths) == 1.0
-        assert sum(c * int(x) for c, x in zip(counts, lengths, strict=True)) == huffman_cost(counts)
     steep = token_files.code_lengths([2**i for i in range(40)], 8)
     assert max(steep) == 8 and sum(2.0 ** -int(x) for x in steep) <= 1
     codes = token_files.canonical_codes(range(2000), lengths)

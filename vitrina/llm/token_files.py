@@ -17,6 +17,7 @@ one document); an empty table writes no shard and reads back empty.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -36,19 +37,47 @@ MAGIC = b"VTK1"
 BLOCK = 256
 #: Longest code in bits; the decoding table has 2 ** MAX_BITS entries.
 MAX_BITS = 18
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 18
 #: Chunks of text whose ids a worker keeps; the cache is cleared when full.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 300_000
 #: A single space or line feed between two of these visible characters always starts or is a
 #: token of its own in the byte-level split, so a text may be cut there without changing its ids.
 SAFE = "!-~¡-¬®-ɏ"
 SPACE_CUT = re.compile(f"(?<=[{SAFE}])(?= [{SAFE}])")
 LINE_CUT = re.compile(f"(?<=[{SAFE}])(\n)(?=[{SAFE}])")
+#: Texts of these characters, spaces and line feeds only are split here by the byte-level pattern
+#: itself, since every regex engine agrees on their classes; others are cut as above.
+PLAIN = re.compile(f"[{SAFE} \n]*")
+LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
 
 
 # -- encoding texts ---------------------------------------------------------------------------
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that stands for a byte in byte-level vocabularies: itself if it is visible, else the next one from U+0100 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(b) if b in visible else chr(256 + others.index(b)) for b in range(256)}
+
+
+class Pretokens(dict):
+    """Ids of a piece of the byte-level split, as bytes; the library's model is asked once for each."""
+
+    def __init__(self, model, width: str) -> None:
+        super().__init__()
+        self.model, self.width, self.characters = model, width, byte_characters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_CHUNKS:
+            self.clear()
+        mapped = piece.encode().decode("latin-1").translate(self.characters)
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        self[piece] = found = struct.pack(f"<{len(ids)}{self.width}", *ids)
+        return found
+
+
 class Encoder:
     """Ids of whole texts as bytes, by the tokenizers library; pieces of text met before come from a cache."""
 
@@ -60,6 +89,11 @@ class Encoder:
         self.dtype = dtype
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        rules = json.loads(tokenizer_json)
+        split = rules.get("pre_tokenizer") or {}
+        self.byte_level = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self.byte_level = self.byte_level and rules.get("normalizer") is None and rules.get("truncation") is None
+        self.pretokens = Pretokens(self.tokenizer.model, "H" if dtype == "<u2" else "I")
 
     def _bytes(self, ids: list[int]) -> bytes:
         import numpy as np
@@ -73,20 +107,36 @@ class Encoder:
         return [chunk for line in LINE_CUT.split(text) for chunk in SPACE_CUT.split(line)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Texts of a byte-level tokenizer go piece by piece through the cache; one that holds a special token's string goes whole."""
+        get, out = self.pretokens.__getitem__, []
+        odd: list[int] = []
+        for i, text in enumerate(texts):
+            if not self.byte_level or any(s in text for s in self.special):
+                out.append(self.whole(text))
+            elif PLAIN.fullmatch(text):
+                out.append(b"".join(map(get, PRETOKEN.findall(text))))
+            else:
+                odd.append(i)
+                out.append(b"")
+        for i, ids in zip(odd, self._by_chunks([texts[i] for i in odd]), strict=True):
+            out[i] = ids
+        return out
+
+    def _by_chunks(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        cuts = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
-        fresh = {c for chunks in cuts if chunks for c in chunks if c not in self.cache}
+        cuts = [self.cut(t) for t in texts]
+        fresh = {c for chunks in cuts for c in chunks if c not in self.cache}
         if len(self.cache) + len(fresh) > CACHE_CHUNKS:
             self.cache = {}
-            fresh = {c for chunks in cuts if chunks for c in chunks}
+            fresh = {c for chunks in cuts for c in chunks}
         new = list(fresh)
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
             for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.cache[chunk] = np.array(found.ids, self.dtype).tobytes()
         get = self.cache.__getitem__
-        return [self.whole(t) if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, cuts, strict=True)]
+        return [b"".join(map(get, chunks)) for chunks in cuts]
 
 
 _encoders: dict = {}
