@@ -29,9 +29,10 @@ def with_match_columns(offers: DataFrame) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key. Aggregates on the map side, so a key with very many rows sends one row a task."""
+    """The first row of each key; rows of one place are told apart by their other columns. Aggregates on
+    the map side, so a key with very many rows sends one row a task."""
     rest = [c for c in rows.columns if c not in keys and c not in order]
-    first = F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("_first")
+    first = F.min(F.struct(*order, *rest)).alias("_first")
     return rows.groupBy(*keys).agg(first).select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in rows.columns])
 
 

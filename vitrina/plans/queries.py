@@ -142,7 +142,7 @@ def src_offers_view(spark, sf_dir):
     return offers(spark, sf_dir)
 
 
-@query(RAW_SQL + ", r AS (SELECT store, raw_title AS title, original_price, current_price, stock_status, url, row_number() OVER (PARTITION BY store ORDER BY row_pos) - 1 AS row_pos FROM raw) SELECT * FROM r")
+@query(RAW_SQL + ", r AS (SELECT store, raw_title AS title, original_price, current_price, stock_status, url, row_number() OVER (PARTITION BY store ORDER BY row_pos, raw_title, original_price, current_price NULLS FIRST, stock_status NULLS FIRST, url) - 1 AS row_pos FROM raw) SELECT * FROM r")
 def src_merged_json(spark, sf_dir):
     """The merged document, written as text and read back through the JSON scan's own parsing."""
     rows = raw_offers(spark, sf_dir)
@@ -211,7 +211,7 @@ scored AS (
     ELSE greatest(100.0 - 100.0 * (nx + ny - 2 * common) / (2 * (ns + g) + nx + ny),
       CASE WHEN ns > 0 THEN greatest(100.0 - 100.0 * (g + nx) / (2 * ns + g + nx), 100.0 - 100.0 * (g + ny) / (2 * ns + g + ny)) ELSE 0.0 END) END::DOUBLE AS score
   FROM lens)"""
-FIRSTS_SQL = ", firsts AS (SELECT norm, arg_min(title, {'a': registry_pos, 'b': row_pos}) AS title FROM offers GROUP BY norm)"
+FIRSTS_SQL = ", firsts AS (SELECT norm, arg_min(title, {'a': registry_pos, 'b': row_pos, 'c': title}) AS title FROM offers GROUP BY norm)"
 
 
 @query(OFFERS_SQL + FIRSTS_SQL + f", pairs AS (SELECT '{ASKED}' AS wanted, norm, title FROM firsts), {RATIO_SQL} SELECT title, round(score, 9) AS score FROM scored WHERE score >= 60")
@@ -319,12 +319,12 @@ for _by in catalog.SORTS:
 # -- deduplication, sets, summaries, merging ------------------------------------------------------
 
 
-@query(RAW_SQL + ", f AS (SELECT *, row_number() OVER (PARTITION BY store, raw_title ORDER BY row_pos) AS n FROM raw) SELECT store, raw_title AS title, original_price, row_pos FROM f WHERE n = 1")
+@query(RAW_SQL + ", f AS (SELECT *, row_number() OVER (PARTITION BY store, raw_title ORDER BY row_pos, original_price) AS n FROM raw) SELECT store, raw_title AS title, original_price, row_pos FROM f WHERE n = 1")
 def dedup_by_title(spark, sf_dir):
     return catalog.keep_first(raw_offers(spark, sf_dir).select("store", "title", "original_price", "row_pos"), ["store", "title"], ["row_pos"])
 
 
-@query(OFFERS_SQL + ", f AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY registry_pos, row_pos) AS n FROM offers) SELECT norm, title, registry_pos, row_pos FROM f WHERE n = 1")
+@query(OFFERS_SQL + ", f AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY registry_pos, row_pos, title) AS n FROM offers) SELECT norm, title, registry_pos, row_pos FROM f WHERE n = 1")
 def dedup_by_norm(spark, sf_dir):
     return catalog.titles_by_norm(offers(spark, sf_dir))
 
