@@ -32,12 +32,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a local one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="vitrina-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="vitrina-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
