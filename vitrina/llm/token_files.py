@@ -37,7 +37,8 @@ MAGIC = b"VTK1"
 BLOCK = 256
 #: Longest code in bits; the decoding table has 2 ** MAX_BITS entries.
 MAX_BITS = 18
-SHARD_TOKENS = 1 << 18
+#: Ids in a shard, and in what one task writes.
+SHARD_TOKENS, PART_TOKENS = 1 << 18, 1 << 22
 #: Chunks of text whose ids a worker keeps; the cache is cleared when full.
 CACHE_CHUNKS = 300_000
 #: A single space or line feed between two of these visible characters always starts or is a
@@ -361,7 +362,7 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, *, id_col
     lengths = [int(x) for x in code_lengths([r["n"] for r in counted])]
     spark.createDataFrame(list(zip(ids, lengths, strict=True)), "id long, bits int").coalesce(1).write.parquet(f"{path}/code")
     tokens = sum(r["n"] for r in counted)
-    parts = max(1, min(100_000, -(-tokens // (4 * SHARD_TOKENS))), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // 50_000)))
+    parts = max(1, min(100_000, -(-tokens // PART_TOKENS)), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // 50_000)))
     name, shared = uuid.uuid4().hex, spark.sparkContext.broadcast((ids, lengths))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +388,10 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, *, id_col
         if keys:
             yield flush()
 
-    ordered = encoded.repartitionByRange(parts, F.asc_nulls_first("doc_id"), "ids").sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids") if parts > 1 else encoded.coalesce(1).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
+    # dealt by the id alone: the sample of range bounds that reaches the driver holds no payloads, and equal ids meet in one part
+    by_id = F.asc_nulls_first("doc_id")
+    dealt = encoded.repartitionByRange(parts, by_id) if parts > 1 else encoded.coalesce(1)
+    ordered = dealt.sortWithinPartitions(by_id, "ids")
     ordered.mapInArrow(pack, SHARD).write.option("compression", "uncompressed").parquet(f"{path}/shards")
 
 
