@@ -6,7 +6,7 @@ Bonferroni over all tested terms, and in at least min_share of them). Vectors ar
 terms and one more for all other words together, so that a few hits in a long text are far from as many in
 a short one; they have unit length, so cosine is a dot product. The inverted index of the examples keeps, for each term and block of 64 examples, the
 largest weight: the sum of these bounds every cosine in a block, blocks are read from the highest bound
-on, and reading stops when no block can beat the k-th neighbour. The neighbours are exact.
+on, and those that cannot beat the k-th neighbour are never read. The neighbours are exact.
 
 Votes are weighted by distance and by what an example stands for in its class; a logistic curve,
 fitted on each example's score without itself, turns votes into probabilities. A text without any
@@ -36,7 +36,8 @@ from vitrina.llm.common import map_rows, scratch, texts_of
 #: Every ASCII byte that is no letter or digit separates words; other bytes belong to words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 PREFIXES = (4, 5, 6)
-BLOCK = 64
+#: Examples in a block of the index, and blocks that are read one by one to find the bar for the others.
+BLOCK, FIRST_BLOCKS = 64, 4
 CACHE = 20_000
 ADDED = T.StructType(
     [
@@ -83,21 +84,39 @@ class Index:
 
         terms = sorted(query)
         bounds = np.array([query[t] for t in terms]) @ self.most[terms]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
-                break
+        for b in order[:FIRST_BLOCKS].tolist():
             scores = np.zeros(BLOCK)
             for t in terms:
                 lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
                 if lo < hi:
                     scores[self.rows[t][lo:hi] - b * BLOCK] += query[t] * self.weights[t][lo:hi]
-            found = np.flatnonzero(scores > 0)
-            best += [(-round(s, 12), b * BLOCK + i) for s, i in zip(scores[found].tolist(), found.tolist(), strict=True) if b * BLOCK + i != without]
-            best.sort()
-            del best[k:]
+            best = self._best(best, scores, np.array([b]), k, without)
+        # blocks that can still hold a neighbour are read together
+        rest = order[FIRST_BLOCKS:]
+        if len(best) == k:
+            rest = rest[bounds[rest] >= -best[-1][0] - 1e-9]
+        if len(rest):
+            scores = np.zeros(self.n_blocks * BLOCK)
+            for t in terms:
+                scores[self.rows[t]] += query[t] * self.weights[t]
+            best = self._best(best, scores.reshape(-1, BLOCK)[rest].ravel(), rest, k, without)
         return [(-s, i) for s, i in best]
 
+    def _best(self, best: list[tuple[float, int]], scores, blocks, k: int, without: int) -> list[tuple[float, int]]:
+        """The k best of what was found before and the scores of some blocks; ties go to the lesser example."""
+        import numpy as np
+
+        scores = np.round(scores, 12)
+        floor = -best[-1][0] if len(best) == k else 0.0
+        found = np.flatnonzero((scores >= floor) & (scores > 0))
+        if len(found) > 4 * k:
+            found = found[scores[found] >= np.partition(scores[found], -k - 1)[-k - 1]]
+        ids = blocks[found // BLOCK] * BLOCK + found % BLOCK
+        return sorted(best + [(-s, i) for s, i in zip(scores[found].tolist(), ids.tolist(), strict=True) if i != without])[:k]
+
 
 class Model:
     """What scoring needs: terms, index, labels, calibration. Its size is bounded by the sample and max_terms."""
