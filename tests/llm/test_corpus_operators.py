@@ -255,6 +255,40 @@ def test_site_importance_brute_force(spark):
     assert math.isclose(got[">body>div.b"], 0.9, rel_tol=1e-9) and got[">body>ul"] == 0
 
 
+def test_many_shapes_keep_unique_text(spark):
+    """Sections of many shapes, each page's text its own: the shapes' entropy falls with the host, the text's does not."""
+    many = lambda i: i if 0 < i < 80 else 1
+    rows = [(i, f"https://h.example/{i}", f"<article><h1>t{i}</h1><section>{''.join(f'<p>w{i} {k}</p>' for k in range(many(i)))}</section><div class='more'>Read on</div></article>") for i in range(2500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    by = {r["path"]: r for r in page_text.site_importance(pages).collect()}
+    section = by[">article>section"]
+    assert section["importance"] < page_text.THRESHOLD and math.isclose(section["content"], 1.0)
+    got = {r["page_id"]: r["text"] for r in page_text.contract(pages).collect()}
+    assert all(f"w{i} 0" in got[i] and "Read on" not in got[i] for i in range(2500))
+
+
+def test_copies_count_once(spark):
+    """250 copies of one page beside 20 pages with texts of their own."""
+    body = "<article><h1>{0}</h1><section><p>story {0}</p></section><div class='more'>Read on</div></article>"
+    rows = [(i, f"https://c.example/{i}", page(body.format(max(0, i - 249)), f"n{i}")) for i in range(270)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["path"]: r["n_pages"] for r in page_text.site_importance(pages).collect() if r["path"].endswith("section")} == {">html>body>article>section": 21}
+    assert {r["page_id"]: r["text"] for r in page_text.contract(pages).collect()} == {i: f"{max(0, i - 249)}\nstory {max(0, i - 249)}" for i in range(270)}
+
+
+def test_unique_parts_keep_what_holds_them(spark):
+    """A container that is nearly always the same stays for the judged part inside it that differs."""
+    rows = []
+    for i in range(1000):
+        inside = f"<ul><li>own {i}</li></ul>" if i < 20 else ""
+        rows.append((i, f"https://u.example/{i}", f"<article><p>t{i}</p><section><p>same</p>{inside}</section><div class='more'>Read on</div></article>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    by = {r["path"]: r for r in page_text.site_importance(pages).collect()}
+    assert max(by[">article>section"]["importance"], by[">article>section"]["content"]) < page_text.THRESHOLD
+    got = {r["page_id"]: r["text"] for r in page_text.contract(pages).collect()}
+    assert got[0] == "t0\nsame\nown 0" and got[999] == "t999\nsame"
+
+
 # -- pipeline -----------------------------------------------------------------------------------
 
 

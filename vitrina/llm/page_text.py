@@ -8,9 +8,13 @@ importance joins the entropies of both:
     importance = (1 - g ** l) * H(presentation) + g ** l * H(content),     g = 0.9, l = presentations
 
 with entropies in units of log(pages), so a branch that says the same on every page has 0 and one
-that differs on every page 1; a branch whose text is nearly all links has 0. Branches below the
-threshold are removed from each page. The merge is an aggregation by (host, path, feature) with
-map-side combine, so a host with a third of all pages is no more than a few hot keys with partial sums.
+that differs on every page 1; a branch whose text is nearly all links has 0. Pages of a host that say and
+show the same count once. With many presentations the sum fades the content out, and the mix of a few
+shapes falls with log(pages), so importance alone condemns nothing: a branch is removed where importance
+and H(content) are below the threshold, its own and those of every judged branch inside it. The merge is
+a distinct over pages that have judged branches, keyed by all they hold, and an aggregation by (host, path,
+feature) with map-side combine, so a host with a third of all pages is no more than a few hot keys with
+partial sums.
 
 What HTML says by itself needs no statistics: menus, headers, footers, asides, forms, scripts and
 the like are removed by tag, role or class words; where a page marks its article (or main part), only
@@ -92,7 +96,8 @@ def _noise(tag: str, attrs: dict[str, str]) -> str:
 def walk(html: str, root_tag: str, removed: frozenset[str], judge=None) -> list[str]:
     """The blocks of text inside the outermost root elements (all of the page if root_tag is empty).
 
-    removed: paths that the site's statistics rule out. judge(element): called as a judged container closes.
+    removed: paths that the site's statistics rule out. judge(element): called as a judged container closes,
+    and last with the whole page, which has no tag.
     """
     blocks: list[str] = []
     now: list[str] = []
@@ -190,6 +195,8 @@ def walk(html: str, root_tag: str, removed: frozenset[str], judge=None) -> list[
     while len(stack) > 1:
         close()
     flush()
+    if judge is not None:
+        judge(top)
     return blocks
 
 
@@ -216,11 +223,16 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def branches(html: str) -> list[tuple[str, int, int, int, int]]:
-    """path, presentation, content, characters, characters in links of each judged branch of a page."""
+def page_branches(html: str) -> tuple[int, list[tuple[str, int, int, int, int]]]:
+    """A page's text outside of menus and the like as one hash, and path, presentation, content,
+    characters, characters in links of each of its judged branches."""
     found: dict[str, list] = {}
+    said: list[str] = []
 
     def judge(e: Element) -> None:
+        if not e.tag:
+            said.extend(e.text)
+            return
         if e.dropped:
             return
         text = "".join(e.text)
@@ -231,27 +243,38 @@ def branches(html: str) -> list[tuple[str, int, int, int, int]]:
         own[3] += e.links
 
     walk(html, "", frozenset(), judge)
-    return [(path, _hash("|".join(a)), _hash("\x00".join(b)), n, k) for path, (a, b, n, k) in found.items()]
+    return _hash("".join(said)), [(path, _hash("|".join(a)), _hash("\x00".join(b)), n, k) for path, (a, b, n, k) in found.items()]
+
+
+def branches(html: str) -> list[tuple[str, int, int, int, int]]:
+    """The judged branches of a page alone."""
+    return page_branches(html)[1]
 
 
-BRANCH = "host string, path string, kind string, feature long, chars long, links long"
+PAGE = "host string, said long, own array<struct<path: string, shown: long, said: long, chars: long, links: long>>"
 
 
 def site_importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, n_pages, importance of every judged branch of every host."""
+    """host, path, n_pages, importance and content (its entropy alone) of every judged branch of every host.
+
+    Pages of a host with the same text and the same branches count as one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        branch = pa.struct([("path", pa.string()), ("shown", pa.int64()), ("said", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())])
         for batch in batches:
-            rows: list[tuple] = []
+            hosts, texts, owns = [], [], []
             for i in range(batch.num_rows):
-                host = host_of(batch.column(0)[i].as_py())
-                for path, shown, said, n, k in branches(batch.column(1)[i].as_py() or ""):
-                    rows += [(host, path, "p", shown, 0, 0), (host, path, "c", said, n, k)]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "path", "kind", "feature", "chars", "links"])
-
-    seen = pages.select(F.col(url_col), F.col(html_col)).mapInArrow(run, BRANCH)
+                text, own = page_branches(batch.column(1)[i].as_py() or "")
+                if own:
+                    hosts.append(host_of(batch.column(0)[i].as_py()))
+                    texts.append(text)
+                    owns.append([dict(zip(("path", "shown", "said", "chars", "links"), x, strict=True)) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(texts, pa.int64()), pa.array(owns, pa.list_(branch))], ["host", "said", "own"])
+
+    each = pages.select(F.col(url_col), F.col(html_col)).mapInArrow(run, PAGE).distinct().select("host", F.explode("own").alias("b"))
+    kinds = F.explode(F.array(F.struct(F.lit("p").alias("kind"), F.col("b.shown").alias("feature"), F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("links")), F.struct(F.lit("c").alias("kind"), F.col("b.said").alias("feature"), F.col("b.chars").alias("chars"), F.col("b.links").alias("links"))))
+    seen = each.select("host", F.col("b.path").alias("path"), kinds.alias("x")).select("host", "path", "x.*")
     counted = seen.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     of = lambda kind, col: F.sum(F.when(F.col("kind") == kind, col))
     sums = counted.groupBy("host", "path").agg(
@@ -267,12 +290,23 @@ def site_importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "
     fade = F.pow(F.lit(GAMMA), F.col("kinds"))
     weighed = (1 - fade) * entropy("p_sum") + fade * entropy("c_sum")
     importance = F.when(F.col("n_pages") < MIN_PAGES, 1.0).when(F.col("links") >= LINK_SHARE * F.col("chars"), 0.0).otherwise(weighed)
-    return sums.select("host", "path", "n_pages", importance.alias("importance"))
+    return sums.select("host", "path", "n_pages", importance.alias("importance"), entropy("c_sum").alias("content"))
+
+
+def removable(importance: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """host, path of the branches to remove: importance and content are below the threshold, theirs and
+    those of every judged branch inside them."""
+    score = F.greatest("importance", "content")
+    steps = F.split("path", ">")
+    above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.struct(F.xxhash64(F.array_join(F.slice(steps, 1, i), ">")).alias("at"), (i == F.size(steps)).alias("own")))
+    parts = importance.select("host", "path", score.alias("score"), F.explode(above).alias("x"))
+    whole = parts.groupBy("host", "x.at").agg(F.max("score").alias("score"), F.max(F.when(F.col("x.own"), F.col("path"))).alias("path"))
+    return whole.filter(F.col("path").isNotNull() & (F.col("score") < threshold)).select("host", "path")
 
 
 def extract_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """pages with text and n_chars in place of nothing else; columns of these names are replaced."""
-    model = scratch(site_importance(pages, url_col=url_col, html_col=html_col).filter(F.col("importance") < threshold).select("host", "path"), "style-tree")
+    model = scratch(removable(site_importance(pages, url_col=url_col, html_col=html_col), threshold), "style-tree")
     size = model.agg(F.sum(F.length("host") + F.length("path") + 64).alias("n")).first()["n"] or 0
     kept = [f for f in pages.schema.fields if f.name not in ("text", "n_chars", "_removed")]
     out = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
