@@ -289,6 +289,22 @@ def test_unique_parts_keep_what_holds_them(spark):
     assert got[0] == "t0\nsame\nown 0" and got[999] == "t999\nsame"
 
 
+def test_links_in_the_article_stay(spark):
+    """Link texts in a sentence and lists of sources stay; links that are the same on every page go."""
+    guide = "<p>see <a href='/g'><span>the guide</span></a> first</p>"
+    rows = []
+    for i in range(30):
+        sources = f"<ul><li><a href='/s'>source {i}</a></li><li><a href='/t'>source b{i}</a></li></ul>"
+        rows.append((2 * i, f"https://l.example/{i}", page(f"<article><h1>t{i}</h1>{guide}{sources}<div class='more'><a href='/m'>Read on</a></div></article>")))
+        rows.append((2 * i + 1, f"https://m.example/{i}", page(f"<h1>t{i}</h1>{guide}{sources}<div class='more'><a href='/m'>Read on</a></div>")))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_text.contract(pages).collect()}
+    assert all(got[2 * i] == f"t{i}\nsee the guide first\nsource {i}\nsource b{i}" for i in range(30))
+    assert all(got[2 * i + 1].startswith(f"t{i}\nsee the guide first\nsource {i}\nsource b{i}") and "Read on" not in got[2 * i + 1] for i in range(30))
+    by = {(r["host"], r["path"]): r for r in page_text.site_importance(pages).collect()}
+    assert by["l.example", ">html>body>article>ul"]["importance"] > 0.2 and not any("span" in path for _, path in by)
+
+
 # -- pipeline -----------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ importance joins the entropies of both:
     importance = (1 - g ** l) * H(presentation) + g ** l * H(content),     g = 0.9, l = presentations
 
 with entropies in units of log(pages), so a branch that says the same on every page has 0 and one
-that differs on every page 1; a branch whose text is nearly all links has 0. Pages of a host that say and
+that differs on every page 1; a branch outside of article and main whose text is nearly all links has 0. Pages of a host that say and
 show the same count once. With many presentations the sum fades the content out, and the mix of a few
 shapes falls with log(pages), so importance alone condemns nothing: a branch is removed where importance
 and H(content) are below the threshold, its own and those of every judged branch inside it. The merge is
@@ -58,9 +58,12 @@ NOISE_WORDS = frozenset(
     "login sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended comment comments respond disqus reply replies pagination pager widget toolbar search skip".split()
 )
 COMMENT_WORDS = frozenset("comment comments respond disqus reply replies related recommended".split())
-#: Elements that are judged by the site's statistics: containers, never the text carriers themselves.
-JUDGED = frozenset("div section ul ol dl table figure center details fieldset span".split())
+#: Elements that are judged by the site's statistics: containers, never the text carriers themselves, and
+#: nothing inline, which would go from the middle of a sentence.
+JUDGED = frozenset("div section ul ol dl table figure center details fieldset".split())
 GAMMA, THRESHOLD, LINK_SHARE, MIN_PAGES = 0.9, 0.2, 0.75, 8
+#: A step of a path that is an article or main part.
+ROOT_STEP = r">(article|main)(\.|>|$)"
 #: A model of removed branches up to this many bytes is broadcast; a larger one is joined by host.
 BROADCAST_BYTES = 32 << 20
 
@@ -289,7 +292,8 @@ def site_importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "
     entropy = lambda c: F.when(F.col("n_pages") > 1, 1 - F.col(c) / F.col("n_pages") / pages_log).otherwise(F.lit(1.0))
     fade = F.pow(F.lit(GAMMA), F.col("kinds"))
     weighed = (1 - fade) * entropy("p_sum") + fade * entropy("c_sum")
-    importance = F.when(F.col("n_pages") < MIN_PAGES, 1.0).when(F.col("links") >= LINK_SHARE * F.col("chars"), 0.0).otherwise(weighed)
+    linked = (F.col("links") >= LINK_SHARE * F.col("chars")) & ~F.col("path").rlike(ROOT_STEP)
+    importance = F.when(F.col("n_pages") < MIN_PAGES, 1.0).when(linked, 0.0).otherwise(weighed)
     return sums.select("host", "path", "n_pages", importance.alias("importance"), entropy("c_sum").alias("content"))
 
 
