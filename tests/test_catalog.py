@@ -97,6 +97,19 @@ def test_urls_and_reader():
     assert [(p, bool(h)) for _, p, _, h in failing.read(failing.partitions()[0])] == [(1, True), (2, False)]
 
 
+def test_reader_has_no_last_page():
+    """A shop of 450 listing pages is read whole unless max_pages is given."""
+
+    def shop(url):
+        page = int(url.rstrip("/").rsplit("/", 1)[1]) if "/page/" in url else 1
+        return card(f"t{page}") if page <= 450 else "<html></html>"
+
+    for options, last in (({}, 450), ({"max_pages": "3"}, 3), ({"dry_run": "true"}, 1)):
+        reader = captures.SiteSource({"sites": "mirzu", "pause": "0", **options}).reader(None)
+        reader.get, reader.pause = shop, 0
+        assert [p for _, p, _, _ in reader.read(reader.partitions()[0])] == list(range(1, last + 1))
+
+
 def test_stop_rule_and_stream(spark, tmp_path):
     pages = [("mirzu", 1, "u", card("a") + card("a")), ("mirzu", 2, "u", card("b")), ("mirzu", 3, "u", card("b")), ("mirzu", 4, "u", card("c")), ("ludi", 1, "u", None), ("ludi", 2, "u", card("d"))]
     source = tmp_path / "pages"

@@ -5,12 +5,13 @@
 
 Pages of one site are fetched in order with a pause between them (a shop is never read in parallel);
 sites are read in parallel as tasks. A failed fetch yields one row without html and ends the site. The
-reader stops early at a page without offers or with the titles of the page before; stop_rows()
-applies the same rule to pages captured in any other way.
+reader stops at a page without offers or with the titles of the page before, and at no number of pages
+unless max_pages is given; stop_rows() applies the same rule to pages captured in any other way.
 """
 
 from __future__ import annotations
 
+import itertools
 import time
 import urllib.error
 import urllib.request
@@ -51,7 +52,7 @@ class SitePartition(InputPartition):
 
 
 class SiteReader(DataSourceReader):
-    def __init__(self, chosen: list[tuple], max_pages: int, pause: float, get: Callable[[str], str | None] = fetch) -> None:
+    def __init__(self, chosen: list[tuple], max_pages: int | None, pause: float, get: Callable[[str], str | None] = fetch) -> None:
         self.chosen, self.max_pages, self.pause, self.get = chosen, max_pages, pause, get
 
     def partitions(self) -> list[SitePartition]:
@@ -61,7 +62,7 @@ class SiteReader(DataSourceReader):
         from vitrina.operators.extract import extract_page
 
         before: list | None = None
-        for page in range(1, self.max_pages + 1):
+        for page in itertools.count(1) if self.max_pages is None else range(1, self.max_pages + 1):
             url = build_url(partition.base_url, partition.style, page)
             html = self.get(url)
             if html is None:
@@ -87,7 +88,8 @@ class SiteSource(DataSource):
         wanted = [x.strip() for x in (self.options.get("sites") or "").split(",") if x.strip()]
         chosen = [row for row in site_rows() if not wanted or row[1] in wanted]
         dry = (self.options.get("dry_run") or "false").lower() == "true"
-        return SiteReader(chosen, 1 if dry else int(self.options.get("max_pages") or 200), float(self.options.get("pause") or PAUSE_S))
+        most = self.options.get("max_pages")
+        return SiteReader(chosen, 1 if dry else int(most) if most else None, float(self.options.get("pause") or PAUSE_S))
 
 
 def stop_rows(offers: DataFrame, pages: DataFrame) -> DataFrame:
