@@ -111,6 +111,26 @@ def test_decontamination_bounds_and_cuts(spark):
         decontaminate.decontaminate(docs, bench, max_item_words=1)
 
 
+def test_keep_clean_cuts_long_spans(spark, sf_dir):
+    """A long document holds 900 benchmark words, below the coverage limit: it stays, its passage goes."""
+    import corpus_pipeline
+
+    passage = " ".join(f"w{i}" for i in range(900))
+    bench = spark.createDataFrame([(1, passage), (2, " ".join(f"v{i}" for i in range(50)))], "item_id long, text string")
+    short = " ".join(f"v{i}" for i in range(50)) + " é" * 2000
+    texts = [f"é before, {passage}. After" + " x" * 20000, short, None, passage]
+    docs = docs_of(spark, texts)
+    got = {r["doc_id"]: r for r in decontaminate.keep_clean(docs, bench).collect()}
+    want = "é before, . After" + " x" * 20000
+    assert {i: (r["text"], r["n_chars"]) for i, r in got.items()} == {0: (want, len(want)), 1: (short, len(short)), 2: (None, 0)}
+    assert decontaminate.keep_clean(docs, bench).schema == docs.schema
+    assert decontaminate.keep_clean(docs.withColumnRenamed("text", "body").select("body"), bench, text_col="body").count() == 3
+    assert decontaminate.keep_clean(docs.limit(0), bench).count() == 0
+    item = next(r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len(decontaminate.split_words(r["text"].encode())) > 50)
+    stage = corpus_pipeline.remove_contaminated(spark, docs_of(spark, [f"{item} " + "漢 " * 20000]), sf_dir).collect()
+    assert len(stage) == 1 and item not in stage[0]["text"] and stage[0]["n_chars"] == len(stage[0]["text"])
+
+
 # -- SimHash ------------------------------------------------------------------------------------
 
 

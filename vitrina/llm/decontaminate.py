@@ -231,6 +231,9 @@ def remove_spans(docs: DataFrame, *, text_col: str = "text", max_words: int = 50
     def cut(batches):
         for batch in batches:
             spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
+            if not any(b - a > max_words for found in spans for a, b in found or []):
+                yield batch
+                continue
             out = []
             for text, found in zip(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), spans, strict=True):
                 long = [x for x in found or [] if x[1] - x[0] > max_words]
@@ -247,10 +250,18 @@ def remove_spans(docs: DataFrame, *, text_col: str = "text", max_words: int = 50
     return docs.mapInArrow(cut, docs.schema)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without contaminated documents; texts of the others stay as they are."""
-    judged = decontaminate(docs.select(F.struct(*docs.columns).alias("_row"), F.col(options.get("text_col", "text")).alias("text")), benchmark, **options)
-    return judged.filter(~F.col("contaminated")).select("_row.*")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", max_words: int = 50, **options) -> DataFrame:
+    """docs without contaminated documents; spans of more than max_words hit words are cut out of the
+    others, whose n_chars (if there is one) follows. Texts without such a span stay as they are."""
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
+    judged = decontaminate(docs.select(row.alias("_row"), F.col(text_col).alias("text")), benchmark, **options)
+    kept = remove_spans(judged.filter(~F.col("contaminated")).select("_row", "text", "spans"), max_words=max_words)
+    own = {c: F.col(f"_row.c{i}") for i, c in enumerate(others)} | {text_col: F.col("text")}
+    if "n_chars" in others:
+        cut = F.exists("spans", lambda x: x[1] - x[0] > max_words)
+        own["n_chars"] = F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return kept.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def contract(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
