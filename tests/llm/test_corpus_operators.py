@@ -305,6 +305,13 @@ def test_links_in_the_article_stay(spark):
     assert by["l.example", ">html>body>article>ul"]["importance"] > 0.2 and not any("span" in path for _, path in by)
 
 
+def test_least_pages_is_a_parameter(spark):
+    rows = [(i, f"https://s.example/{i}", f"<article><p>t{i}</p><div class='more'>Read on</div></article>") for i in range(7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for least, more in ((8, "\nRead on"), (7, "")):
+        assert {r["page_id"]: r["text"] for r in page_text.extract_text(pages, min_pages=least).collect()} == {i: f"t{i}{more}" for i in range(7)}
+
+
 # -- pipeline -----------------------------------------------------------------------------------
 
 

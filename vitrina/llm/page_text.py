@@ -14,7 +14,8 @@ shapes falls with log(pages), so importance alone condemns nothing: a branch is
 and H(content) are below the threshold, its own and those of every judged branch inside it. The merge is
 a distinct over pages that have judged branches, keyed by all they hold, and an aggregation by (host, path,
 feature) with map-side combine, so a host with a third of all pages is no more than a few hot keys with
-partial sums.
+partial sums. A branch on fewer than `min_pages` (8) different pages of its host is never removed: so few
+pages say too little about repetition, and a host of fewer pages has no style tree.
 
 What HTML says by itself needs no statistics: menus, headers, footers, asides, forms, scripts and
 the like are removed by tag, role or class words; where a page marks its article (or main part), only
@@ -257,9 +258,11 @@ def branches(html: str) -> list[tuple[str, int, int, int, int]]:
 PAGE = "host string, said long, own array<struct<path: string, shown: long, said: long, chars: long, links: long>>"
 
 
-def site_importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def site_importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """host, path, n_pages, importance and content (its entropy alone) of every judged branch of every host.
 
+    A branch on fewer than min_pages different pages has importance 1.
+
     Pages of a host with the same text and the same branches count as one.
     """
 
@@ -293,7 +296,7 @@ def site_importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "
     fade = F.pow(F.lit(GAMMA), F.col("kinds"))
     weighed = (1 - fade) * entropy("p_sum") + fade * entropy("c_sum")
     linked = (F.col("links") >= LINK_SHARE * F.col("chars")) & ~F.col("path").rlike(ROOT_STEP)
-    importance = F.when(F.col("n_pages") < MIN_PAGES, 1.0).when(linked, 0.0).otherwise(weighed)
+    importance = F.when(F.col("n_pages") < min_pages, 1.0).when(linked, 0.0).otherwise(weighed)
     return sums.select("host", "path", "n_pages", importance.alias("importance"), entropy("c_sum").alias("content"))
 
 
@@ -308,9 +311,9 @@ def removable(importance: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return whole.filter(F.col("path").isNotNull() & (F.col("score") < threshold)).select("host", "path")
 
 
-def extract_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
+def extract_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages with text and n_chars in place of nothing else; columns of these names are replaced."""
-    model = scratch(removable(site_importance(pages, url_col=url_col, html_col=html_col), threshold), "style-tree")
+    model = scratch(removable(site_importance(pages, url_col=url_col, html_col=html_col, min_pages=min_pages), threshold), "style-tree")
     size = model.agg(F.sum(F.length("host") + F.length("path") + 64).alias("n")).first()["n"] or 0
     kept = [f for f in pages.schema.fields if f.name not in ("text", "n_chars", "_removed")]
     out = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
