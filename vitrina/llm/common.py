@@ -10,6 +10,7 @@ Rules that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,6 +24,8 @@ from pyspark.sql import types as T
 SPACE = " \t\n\x0b\x0c\r"
 #: The letters that ASCII lower-casing changes.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Where pack_row() puts a row's columns.
+ROW = "__packed_row__"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +34,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none."""
+    """The folder that all executors share, named by the session; only a session of one process may name none."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="vitrina-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="vitrina-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named.rstrip("/")
@@ -48,6 +55,36 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that may be split off a join as frequent: each has more than this share of the rows, so there are no more of them.
+FREQUENT_KEYS = 1000
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """left with the columns of right, which has at most one row a key; how: inner or left. Null keys match none.
+
+    A key with over 1/FREQUENT_KEYS of left's rows would be a task of its own size. There are fewer than FREQUENT_KEYS of them
+    whatever the data, so their rows of right are broadcast; all other rows are joined by key. Both sides are
+    read more than once and should be tables. counted: (key, n), the rows of each key, if they are known.
+    """
+    per_key = left.groupBy(key).agg(F.count("*").alias("n")) if counted is None else counted
+    total = per_key.agg(F.sum("n")).first()[0] or 0
+    limit = total / FREQUENT_KEYS
+    frequent = [r[0] for r in per_key.filter((F.col("n") > limit) & (F.col("n") > 1) & F.col(key).isNotNull()).select(key).collect()]  # under FREQUENT_KEYS
+    if not frequent:
+        return left.join(right, key, how)
+    names = left.sparkSession.createDataFrame([(k,) for k in frequent], right.select(key).schema)
+    of_frequent = F.broadcast(names.join(right, key, how))  # under FREQUENT_KEYS rows
+    often = left.join(of_frequent, key)
+    seldom = left.join(F.broadcast(names), key, "left_anti").join(right, key, how)
+    return often.unionByName(seldom)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df with every column computed once for each row. The optimizer inlines a column that is named once, even
+    into a lambda, where it would be computed for each element; nothing is inlined through an explode."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_")).select("_.*")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -80,6 +117,22 @@ def map_rows(df: DataFrame, added: T.StructType, make: Callable[[], Callable[[pa
     return df.mapInArrow(run, out)
 
 
+def pack_row(df: DataFrame, *named: str) -> DataFrame:
+    """The columns `named`, and all others of df in one struct: no column that an operator adds can clash with them."""
+    row = F.struct(F.lit(0).alias("_"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(df.columns) if c not in named])
+    return df.select(row.alias(ROW), *map(quoted, named))
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unpack_row(df: DataFrame, columns: list[str], *named: str) -> DataFrame:
+    """What pack_row() packed, in the old order: `columns` are the names of the packed table."""
+    return df.select(*[quoted(c) if c in named else F.col(f"{ROW}.c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[str]:
     """The texts of a batch, one at a time; null is empty."""
     array = batch.column(batch.schema.get_field_index(column))
