@@ -1,22 +1,27 @@
 """Toxicity scores by nearest labelled examples.
 
-Examples are labelled documents. A term is a whole word or a word's first 4, 5 or 6 bytes; the terms
-used are those that toxic examples have significantly more often (one-sided two-proportion test,
-Bonferroni over all tested terms, and in at least min_share of them). Vectors are TF-IDF over these
-terms and one more for all other words together, so that a few hits in a long text are far from as many in
-a short one; they have unit length, so cosine is a dot product. The inverted index of the examples keeps, for each term and block of 64 examples, the
-largest weight: the sum of these bounds every cosine in a block, blocks are read from the highest bound
-on, and those that cannot beat the k-th neighbour are never read. The neighbours are exact.
-
-Votes are weighted by distance and by what an example stands for in its class; a logistic curve,
-fitted on each example's score without itself, turns votes into probabilities. A text without any
-term gets the toxic share of the examples without any term.
-
-The examples are a bounded sample of the labelled rows (max_toxic, max_clean, least hash of the id
-first), so the index has a fixed size bound and is broadcast; every document is scored, whole.
-
-Defined results: null text is empty; ties between neighbours go to the lesser example id; a document
-that is itself an example is scored like any other; without usable labels every score is 0.
+Examples are labelled documents. Every word of every example is a term, and none is left out. A vector's
+entry is (1 + log tf) * idf * rf ** FOCUS, scaled to unit length, so that cosine is a dot product. rf is the
+relevance frequency log2(2 + odds) of supervised TF-IDF, odds being the term's share of the toxic examples
+over its share of the clean ones (smoothed): a word of both classes keeps its plain TF-IDF weight, a word
+that toxic examples prefer weighs more. With plain idf the many invented or rare words of a long text outweigh
+its few insults (the README has the figures).
+
+The inverted index keeps a term's postings by blocks of 64 examples, each with its largest weight. The sum of
+these maxima bounds every cosine in a block. The blocks with the highest bounds are read first; of the others only
+those are read whose bound reaches the k-th neighbour found so far. A skipped block's postings are never touched,
+and the neighbours are exact.
+
+Votes are weighted by nearness and by what an example stands for in its class; a logistic curve, fitted on each
+example's votes without itself, turns them into probabilities. Examples with the very text that is scored don't
+vote, neither in fitting nor in scoring: a document does not look up its own label, and doc_id is no input.
+
+The examples are a bounded sample of the labelled rows (max_toxic, max_clean, least hash of the id first), so
+the index has a bounded number of rows and is broadcast; every document is scored, whole.
+
+Defined results: null text is empty; ties between neighbours (cosines equal to 12 digits) go to the example with the
+lesser id; a document that shares no word with any example (an empty one, say) has no evidence and the score of the
+class prior; repeated rows are scored one by one; without usable labels every score is 0.
 """
 
 from __future__ import annotations
@@ -24,20 +29,22 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrina.llm.common import map_rows, scratch, texts_of
+from vitrina.llm.common import map_rows, pack_row, scratch, texts_of, unpack_row
 
 #: Every ASCII byte that is no letter or digit separates words; other bytes belong to words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-PREFIXES = (4, 5, 6)
-#: Examples in a block of the index, and blocks that are read one by one to find the bar for the others.
-BLOCK, FIRST_BLOCKS = 64, 4
+#: Examples in a block of the index, and blocks that are read first to find the bar for the others.
+BLOCK, FIRST_BLOCKS = 64, 6
+#: Power of the relevance frequency, and what smooths it: so many clean examples more.
+FOCUS, SMOOTH = 2.0, 3.0
+#: Terms in at least this share of the examples order them, so that alike examples share blocks.
+COMMON_SHARE = 0.02
 CACHE = 20_000
 ADDED = T.StructType(
     [
@@ -52,136 +59,167 @@ def split_words(text: str) -> list[bytes]:
     return text.lower().encode().translate(TABLE).split()
 
 
-def terms_of(word: bytes) -> list[bytes]:
-    """The word itself (marked) and its beginnings."""
-    return [word + b"$", *[word[:n] for n in PREFIXES if len(word) >= n]]
+def text_key(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text.encode())
+
+
+def ranges(starts, ends):
+    """start .. end-1 of each pair, one after the other."""
+    import numpy as np
+
+    sizes = ends - starts
+    total = int(sizes.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    steps = np.ones(total, np.int64)
+    full = sizes > 0
+    heads = np.cumsum(sizes[full])[:-1]
+    steps[0] = starts[full][0]
+    steps[heads] = starts[full][1:] - ends[full][:-1] + 1
+    return np.cumsum(steps)
 
 
 class Index:
-    """Exact top-k cosine over unit vectors {term number: weight} by block-max bounds."""
+    """Exact top-k cosine over unit vectors by block-max bounds.
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int) -> None:
+    vectors: (terms ascending, weights) of each example as arrays. A term's entries are its blocks; an entry
+    has the largest weight and the place of its postings.
+    """
+
+    def __init__(self, vectors: list[tuple], n_terms: int) -> None:
         import numpy as np
 
-        self.n = len(vectors)
-        self.n_blocks = -(-self.n // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                postings[t].append((i, w))
-        self.rows = [np.array([i for i, _ in p], np.int64) for p in postings]
-        self.weights = [np.array([w for _, w in p]) for p in postings]
-        self.cuts = [np.searchsorted(r, np.arange(self.n_blocks + 1) * BLOCK).tolist() for r in self.rows]
-        self.most = np.zeros((n_terms, self.n_blocks))
-        for t, p in enumerate(postings):
-            for i, w in p:
-                if w > self.most[t, i // BLOCK]:
-                    self.most[t, i // BLOCK] = w
-
-    def top(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest examples with a positive cosine, best first."""
+        self.n, self.n_blocks = len(vectors), -(-len(vectors) // BLOCK)
+        terms = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
+        rows = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
+        order = np.lexsort((rows, terms))
+        terms, self.rows = terms[order], rows[order].astype(np.int32)
+        self.weights = (np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0))[order]
+        blocks = self.rows // BLOCK
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])
+        at = np.flatnonzero(new)
+        self.entry_block = blocks[at]
+        self.entry_max = np.maximum.reduceat(self.weights, at) if len(at) else np.zeros(0)
+        self.entry_at = np.append(at, len(terms))
+        self.term_at = np.searchsorted(terms[at], np.arange(n_terms + 1))
+
+    def top(self, terms, weights, k: int, without: frozenset[int] = frozenset()) -> list[tuple[float, int]]:
+        """(cosine, example) of the k nearest examples with a positive cosine, best first; but for `without`."""
         import numpy as np
 
-        terms = sorted(query)
-        bounds = np.array([query[t] for t in terms]) @ self.most[terms]
+        starts, ends = self.term_at[terms], self.term_at[terms + 1]
+        entries, own = ranges(starts, ends), np.repeat(weights, ends - starts)
+        blocks = self.entry_block[entries]
+        bounds = np.bincount(blocks, own * self.entry_max[entries], self.n_blocks)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         best: list[tuple[float, int]] = []
-        for b in order[:FIRST_BLOCKS].tolist():
-            scores = np.zeros(BLOCK)
-            for t in terms:
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                if lo < hi:
-                    scores[self.rows[t][lo:hi] - b * BLOCK] += query[t] * self.weights[t][lo:hi]
-            best = self._best(best, scores, np.array([b]), k, without)
-        # blocks that can still hold a neighbour are read together
-        rest = order[FIRST_BLOCKS:]
-        if len(best) == k:
-            rest = rest[bounds[rest] >= -best[-1][0] - 1e-9]
-        if len(rest):
-            scores = np.zeros(self.n_blocks * BLOCK)
-            for t in terms:
-                scores[self.rows[t]] += query[t] * self.weights[t]
-            best = self._best(best, scores.reshape(-1, BLOCK)[rest].ravel(), rest, k, without)
+        chosen = np.zeros(self.n_blocks, bool)
+        for part in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            if len(best) == k:
+                part = part[bounds[part] >= -best[-1][0] - 1e-9]
+            if not len(part):
+                continue
+            chosen[:] = False
+            chosen[part] = True
+            read = chosen[blocks]
+            some, some_own = entries[read], own[read]
+            lo, hi = self.entry_at[some], self.entry_at[some + 1]
+            places = ranges(lo, hi)
+            scores = np.round(np.bincount(self.rows[places], np.repeat(some_own, hi - lo) * self.weights[places], self.n), 12)
+            if without:
+                scores[list(without)] = 0.0
+            floor = -best[-1][0] if len(best) == k else 0.0
+            found = np.flatnonzero((scores >= floor) & (scores > 0))
+            if len(found) > 4 * k:
+                found = found[scores[found] >= np.partition(scores[found], -k)[-k]]
+            best = sorted(best + [(-s, i) for s, i in zip(scores[found].tolist(), found.tolist(), strict=True)])[:k]
         return [(-s, i) for s, i in best]
 
-    def _best(self, best: list[tuple[float, int]], scores, blocks, k: int, without: int) -> list[tuple[float, int]]:
-        """The k best of what was found before and the scores of some blocks; ties go to the lesser example."""
-        import numpy as np
-
-        scores = np.round(scores, 12)
-        floor = -best[-1][0] if len(best) == k else 0.0
-        found = np.flatnonzero((scores >= floor) & (scores > 0))
-        if len(found) > 4 * k:
-            found = found[scores[found] >= np.partition(scores[found], -k - 1)[-k - 1]]
-        ids = blocks[found // BLOCK] * BLOCK + found % BLOCK
-        return sorted(best + [(-s, i) for s, i in zip(scores[found].tolist(), ids.tolist(), strict=True) if i != without])[:k]
-
 
 class Model:
-    """What scoring needs: terms, index, labels, calibration. Its size is bounded by the sample and max_terms."""
+    """What scoring needs: term weights, index, labels, calibration. Its rows are bounded by the sample."""
+
+    def __init__(self, examples: list[tuple[int, int, int, dict[bytes, int]]], share: tuple[float, float], k: int, focus: float = FOCUS, smooth: float = SMOOTH) -> None:
+        """examples: (id, toxic, text_key, word counts)."""
+        import numpy as np
 
-    def __init__(self, terms: list[bytes], df: list[int], examples: list[tuple[int, int, dict[int, int]]], share: tuple[float, float], k: int) -> None:
         self.k = k
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.heads = frozenset(t.rstrip(b"$")[:4] for t in terms)
         n = len(examples)
-        self.idf = [math.log((1 + n) / (1 + d)) + 1 for d in df]
-        #: The last dimension: all words that are no term.
-        self.others = len(terms)
-        self.idf.append(1.0)
-        used = [(i, y, v) for i, y, c in examples if (v := self._unit(c))]
-        # similar examples side by side, so that whole blocks can be skipped
-        strongest = lambda v: max(v, key=lambda t: (t != self.others, v[t], -t))
-        used.sort(key=lambda x: (strongest(x[2]), x[0]))
-        self.ids, self.toxic = [x[0] for x in used], [x[1] for x in used]
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for _, y, _, c in examples:
+            seen[y].update(c.keys())
+        n_toxic = sum(y for _, y, _, _ in examples)
+        n_clean = n - n_toxic
+        terms = sorted(seen[0].keys() | seen[1].keys())
+        self.number = {t: i for i, t in enumerate(terms)}
+        a, c = (np.array([seen[y][t] for t in terms], float) for y in (1, 0))
+        odds = (a / max(1, n_toxic)) / ((c + smooth) / max(1, n_clean))
+        relevance = np.log2(2 + odds) ** focus
+        self.weight = (np.log((1 + n) / (1 + a + c)) + 1) * relevance
+        #: Of a word that no example has: it meets nothing, but counts in a text's length.
+        self.unknown = math.log(1 + n) + 1
+        vectors = [self.vector(c) for _, _, _, c in examples]
+        # similar examples side by side, so that whole blocks can be skipped: by the strongest of the common terms
+        common = a + c >= max(2.0, COMMON_SHARE * n)
+        lead = [int(t[best]) if len(t) and common[t[(best := int(np.argmax(w * common[t])))]] else -1 for t, w in vectors]
+        order = sorted(range(n), key=lambda i: (lead[i], examples[i][0]))
+        self.ids = [examples[i][0] for i in order]
+        self.toxic = [examples[i][1] for i in order]
+        self.same: dict[int, list[int]] = {}
+        for at, i in enumerate(order):
+            self.same.setdefault(examples[i][2], []).append(at)
         self.stands_for = [share[y] for y in self.toxic]
-        self.index = Index([x[2] for x in used], len(terms) + 1)
-        none = [sum(share[y] for _, y, c in examples if y == k and not set(c) - {self.others}) for k in (0, 1)]
-        self.bare = (none[1] + 0.5) / (sum(none) + 1) if examples and (none[0] or none[1]) else 0.0
-        self.prior = sum(w for w, y in zip(self.stands_for, self.toxic, strict=True) if y) / max(1e-9, sum(self.stands_for))
+        total = sum(self.stands_for)
+        self.prior = sum(w for w, y in zip(self.stands_for, self.toxic, strict=True) if y) / total if total else 0.0
+        vectors = [vectors[i] for i in order]
+        self.index = Index(vectors, len(terms))
         self.curve = (1.0, 0.0)
-        self.curve = self._calibrate([x[2] for x in used])
-        self.cache: dict = {}
-
-    def counts(self, words: list[bytes]) -> dict[int, int]:
-        """Terms of a text and how often they occur; empty without any, else with its other words."""
-        heads, number = self.heads, self.number
-        found: Counter = Counter()
-        hits = 0
-        for w, n in Counter([w for w in words if w[:4] in heads]).items():
-            own = [i for t in terms_of(w) if (i := number.get(t)) is not None]
-            hits += n * bool(own)
-            for i in own:
-                found[i] += n
-        if found and len(words) > hits:
-            found[self.others] = len(words) - hits
-        return dict(found)
-
-    def _unit(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        size = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / size for t, w in v.items()} if size else {}
+        if 0 < n_toxic < n:
+            self.curve = self._calibrate([self._votes(self._near(t, w, examples[i][2])) for (t, w), i in zip(vectors, order, strict=True)])
+        self.cache: dict[int, tuple] = {}
+
+    def vector(self, counts: dict[bytes, int]) -> tuple:
+        """Known terms, ascending, and their weights in the unit vector of a text."""
+        import numpy as np
+
+        number = self.number
+        known = sorted((i, n) for w, n in counts.items() if (i := number.get(w)) is not None)
+        terms = np.array([i for i, _ in known], np.int64)
+        times = np.array([n for _, n in known], float)
+        weights = (1 + np.log(times)) * self.weight[terms] if known else np.zeros(0)
+        square = float((weights * weights).sum())
+        if len(known) < len(counts):
+            square += sum(((1 + math.log(n)) * self.unknown) ** 2 for w, n in counts.items() if w not in number)
+        return terms, weights / math.sqrt(square) if square else weights
+
+    def _near(self, terms, weights, key: int) -> list[tuple[float, int]]:
+        """Nearest examples of another text, (cosine, row), ties by id."""
+        if not len(terms):
+            return []
+        without = frozenset(self.same.get(key, ()))
+        near = self.index.top(terms, weights, self.k + TIES, without)
+        if len(near) > self.k and near[self.k - 1][0] == near[-1][0]:  # more ties at the end than were asked for
+            near = self.index.top(terms, weights, self.index.n, without)
+        return sorted(near, key=lambda x: (-x[0], self.ids[x[1]]))[: self.k]
 
     def _votes(self, near: list[tuple[float, int]]) -> float:
-        """Share of toxic votes; the class prior has a small vote of its own."""
+        """Log odds of toxic votes; the class prior has a small vote of its own."""
         yes, total = 0.1 * self.prior, 0.1
         for s, i in near:
             w = self.stands_for[i] / (1.05 - s)
             total += w
             yes += w * self.toxic[i]
-        return yes / total
-
-    def _calibrate(self, vectors: list[dict[int, float]]) -> tuple[float, float]:
-        """Slope and offset of log odds, by Newton's method on votes that leave the example out."""
-        xs = []
-        for i, v in enumerate(vectors):
-            p = min(max(self._votes(self.index.top(v, self.k, without=i)), 1e-3), 1 - 1e-3)
-            xs.append(math.log(p / (1 - p)))
-        if len(set(self.toxic)) < 2:
-            return 1.0, 0.0
+        p = min(max(yes / total, 1e-3), 1 - 1e-3)
+        return math.log(p / (1 - p))
+
+    def _calibrate(self, xs: list[float]) -> tuple[float, float]:
+        """Slope and offset of the curve over log odds, by Newton's method."""
         a, b = 1.0, 0.0
-        for _ in range(25):
+        for _ in range(50):
             ga, gb, haa, hab, hbb = 1e-2 * (1 - a), -1e-3 * b, 1e-2, 0.0, 1e-3
             for x, y, w in zip(xs, self.toxic, self.stands_for, strict=True):
                 p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a * x + b))))
@@ -198,73 +236,56 @@ class Model:
         return max(a, 1e-3), b
 
     def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        counts = self.counts(split_words(text))
-        if not counts:
-            return self.bare, []
-        key = frozenset(counts.items())
+        """Probability and nearest examples of a text."""
+        if not self.ids or not self.prior:
+            return 0.0, []
+        key = text_key(text)
         if key not in self.cache:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            near = self.index.top(self._unit(counts), self.k)
-            p = min(max(self._votes(near), 1e-3), 1 - 1e-3)
+            near = self._near(*self.vector(Counter(split_words(text))), key)
             a, b = self.curve
-            self.cache[key] = (1 / (1 + math.exp(-max(-30.0, min(30.0, a * math.log(p / (1 - p)) + b)))), near)
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a * self._votes(near) + b)))) if near else self.prior
+            self.cache[key] = (p, near)
         return self.cache[key]
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """term, clean, toxic: examples of this task that have the term, by label."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for batch in batches:
-        labels = batch.column(batch.schema.get_field_index("toxic")).to_pylist()
-        for y, text in zip(labels, texts_of(batch, "text"), strict=True):
-            seen[y].update({t for w in set(split_words(text)) for t in terms_of(w)})
-    terms = list(seen[0] | seen[1])
-    for i in range(0, len(terms), 100_000):
-        part = terms[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([seen[0][t] for t in part], pa.int64()), pa.array([seen[1][t] for t in part], pa.int64())], ["term", "clean", "toxic"])
+#: Neighbours that are asked for beyond k, to order ties at the end by id.
+TIES = 16
+
+
+def word_counts(examples: DataFrame) -> DataFrame:
+    """doc_id, toxic, key (of the text), words, counts of each example."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, found = [], []
+            for text in texts_of(batch, "text"):
+                keys.append(text_key(text) - (1 << 63))
+                found.append(Counter(split_words(text)))
+            arrays = [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array([list(c) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "key", "words", "counts"])
+
+    return examples.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, key long, words array<binary>, counts array<long>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, max_clean: int = 4000, max_terms: int = 4096, min_share: float = 0.01, alpha: float = 0.05, k: int = 15) -> Model:
-    """docs (doc_id, text) and labels (doc_id, toxic 0 or 1), all of which may be learned from."""
+def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, max_clean: int = 4000, k: int = 15) -> Model:
+    """docs (doc_id, text) and labels (doc_id, toxic 0 or 1), all of which may be learned from.
+
+    At most max_toxic + max_clean examples reach the driver, as word counts; all their words are terms.
+    """
     one = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     one = scratch(one.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labels")
     of_class = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = one.filter("toxic = 1").orderBy(*order).limit(max_toxic).unionByName(one.filter("toxic = 0").orderBy(*order).limit(max_clean))
     sample = F.broadcast(sample)  # at most max_toxic + max_clean rows
-    examples = scratch(docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "examples")
-    n = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    share = (of_class.get(0, 0) / max(1, n0), of_class.get(1, 0) / max(1, n1))
-    counted = examples.mapInArrow(_term_counts, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counted = scratch(counted, "terms")
-    bar = NormalDist().inv_cdf(1 - alpha / max(1, counted.count()))
-    p = (F.col("clean") + F.col("toxic")) / float(max(1, n0 + n1))
-    z = (F.col("toxic") / float(max(1, n1)) - F.col("clean") / float(max(1, n0))) / F.sqrt(p * (1 - p) * (1.0 / max(1, n0) + 1.0 / max(1, n1)) + 1e-12)
-    picked = counted.withColumn("z", z).filter((F.col("z") > bar) & (F.col("toxic") >= max(3, min_share * n1))).orderBy(F.desc("z"), "term").limit(max_terms).collect()
-    terms = [bytes(r["term"]) for r in picked]
-    df = [r["clean"] + r["toxic"] for r in picked]
-    known = {t: i for i, t in enumerate(terms)}
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in texts_of(batch, "text"):
-                found: Counter = Counter()
-                others = 0
-                for w, times in Counter(split_words(text)).items():
-                    own = [known[t] for t in terms_of(w) if t in known]
-                    others += times * (not own)
-                    for i in own:
-                        found[i] += times
-                if others:
-                    found[len(known)] = others
-                out.append(list(found.items()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[t for t, _ in x] for x in out], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in out], pa.list_(pa.int32()))], ["doc_id", "toxic", "t", "c"])
-
-    rows = examples.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, t array<int>, c array<int>").collect()
-    return Model(terms, df, sorted((r["doc_id"], r["toxic"], dict(zip(r["t"], r["c"], strict=True))) for r in rows), share, k)
+    examples = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = word_counts(examples).collect()
+    found = sorted((r["doc_id"], r["toxic"], r["key"] + (1 << 63), {bytes(w): n for w, n in zip(r["words"], r["counts"], strict=True)}) for r in rows)
+    n = Counter(y for _, y, _, _ in found)
+    share = (of_class.get(0, 0) / max(1, n[0]), of_class.get(1, 0) / max(1, n[1]))
+    return Model(found, share, k)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -304,4 +325,4 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted toxic; their own columns only."""
     model = fit(docs, labels.select("doc_id", "toxic").filter(~held_out(F.col("doc_id"))))
     # scored beside the text under names of this operator's own, so that no column of docs is lost
-    return score(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text")), model).filter("predicted = 0").select("_row.*")
+    return unpack_row(score(pack_row(docs, "text"), model).filter("predicted = 0"), docs.columns, "text")
