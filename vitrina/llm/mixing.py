@@ -1,21 +1,24 @@
 """Mixing to target weights by soft membership, with DataFrame functions only.
 
 1. A labelled table (doc_id, domain) and its texts train a multinomial naive Bayes model over hashed
-   words; it gives every document a posterior p over the K domains (the evidence of a text counts as that of
-   at most MAX_EVIDENCE words, which keeps memberships soft).
+   words; it gives every document a posterior p over the K domains. Words of one text are not independent
+   evidence, so n words count as n / (1 + (n - 1) * CORRELATION) (the design effect of correlated draws), for every length
+   by the same rule; that keeps memberships soft.
 2. Rates r >= 0, one for each document, minimise |sum_d r_d n_d p_d - T|^2 for target token totals T, by
    projected gradient steps in the metric that weighs documents by their tokens:
-   r_d <- max(0, r_d - p_d . s). A pass over the table (n, p) sums the K totals; only K numbers reach
-   the driver. s is the residual through the inverse of the K x K membership matrix (exact where no rate is
-   at 0), or a plain step of safe length where that does not lower the residual.
+   r_d <- max(0, r_d - step * p_d . gap). Step lengths are those of Barzilai and Borwein (spectral projected gradient); a step
+   that does not lower the loss below the worst of the last few is taken again with the safe length. A pass over
+   the table (n, p) sums the K totals and three numbers more; only these reach the driver. It ends when the step is
+   shorter than the tolerance (no change of any rate lowers the loss) or the targets are met, and says so in `converged`.
 
-A rate depends on a document's p only, so the steps so far are one column expression; nothing is collected
-but model counts (buckets x K) and K-vectors, whatever the number of documents.
+A rate depends on a document's p only, so the steps so far are one column expression: as long as no rate has been
+0 they are one sum, afterwards they are nested, and from DEPTH steps on the rates are written as a table.
+Nothing is collected but model counts (buckets x K) and K-vectors, whatever the number of documents.
 
 Defined results: a document without words has the class prior as posterior and 0 tokens; rows that repeat
 an id are one document with all their words; a null id is a document like any other; targets that no
 rates reach get the nearest totals; an empty table gives no rates; without labelled rows there is
-one domain, "".
+one domain, ""; columns beside those named never matter.
 """
 
 from __future__ import annotations
@@ -25,13 +28,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrina.llm.common import scratch, words
+from vitrina.llm.common import join_unique, quoted, scratch, words
 
 BUCKETS = 4096
-MAX_EVIDENCE = 30
-#: Labelled rows that the classifier is fitted on, and domains that it may have.
-MAX_LABELLED, MAX_DOMAINS = 10_000, 64
-STEPS, TOLERANCE = 25, 1e-9
+#: How much a text's words repeat each other as evidence: beyond some 1 / CORRELATION words, more add little.
+CORRELATION = 1 / 30
+#: Labelled rows that the classifier is fitted on.
+MAX_LABELLED = 10_000
+#: Passes at most; shortest step (root mean square change of the rates, for a step of length 1) and gap of the totals that end them.
+STEPS, TOLERANCE = 300, 1e-8
+#: Nested steps after which the rates are written, and losses that a step is compared with.
+DEPTH, MEMORY = 8, 5
 
 
 def _bucket(word: Column) -> Column:
@@ -44,9 +51,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, *, max_labelled: int = MAX
     rows = labelled.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").cast("string").alias("domain"))
     sample = F.broadcast(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))  # bounded by max_labelled
     counted = docs.select("doc_id", "text").join(sample, "doc_id").select("domain", F.explode(words(F.col("text"))).alias("word")).groupBy("domain", _bucket(F.col("word")).alias("bucket")).count()
-    found = counted.groupBy("domain").agg(F.collect_list(F.struct("bucket", "count")).alias("own")).limit(MAX_DOMAINS + 1).collect()
-    if len(found) > MAX_DOMAINS:
-        raise ValueError(f"over {MAX_DOMAINS} domains")
+    found = counted.groupBy("domain").agg(F.collect_list(F.struct("bucket", "count")).alias("own")).collect()  # domains of the sample, BUCKETS entries each
     domains = sorted(r["domain"] for r in found) or [""]
     own = {r["domain"]: {x["bucket"]: x["count"] for x in r["own"]} for r in found}
     totals = [sum(own.get(d, {}).values()) for d in domains]
@@ -62,7 +67,7 @@ def posteriors(docs: DataFrame, model: DataFrame, priors: list[float]) -> DataFr
     each = docs.select("doc_id", F.explode_outer(words(F.col("text"))).alias("word")).select("doc_id", "word", _bucket(F.col("word")).alias("bucket"))
     met = each.join(F.broadcast(model), "bucket", "left")  # BUCKETS rows
     sums = met.groupBy("doc_id").agg(F.count("word").alias("n_tokens"), *[F.sum(F.when(F.col("word").isNotNull(), F.col(f"l{i}"))).alias(f"s{i}") for i in k])
-    weight = F.least(F.lit(float(MAX_EVIDENCE)), F.col("n_tokens")) / F.greatest(F.lit(1), "n_tokens")
+    weight = 1.0 / (1.0 + (F.greatest(F.lit(1), "n_tokens") - 1) * CORRELATION)
     logs = sums.select("doc_id", "n_tokens", *[(F.coalesce(F.col(f"s{i}"), F.lit(0.0)) * weight + F.lit(priors[i])).alias(f"s{i}") for i in k])
     top = F.greatest(*[F.col(f"s{i}") for i in k]) if len(priors) > 1 else F.col("s0")
     exps = logs.select("doc_id", "n_tokens", *[F.exp(F.col(f"s{i}") - top).alias(f"s{i}") for i in k])
@@ -70,60 +75,72 @@ def posteriors(docs: DataFrame, model: DataFrame, priors: list[float]) -> DataFr
     return exps.select("doc_id", "n_tokens", *[(F.col(f"s{i}") / total).alias(f"p{i}") for i in k])
 
 
-def _solve(matrix: list[list[float]], right: list[float]) -> list[float] | None:
-    """K x K linear system by elimination; None if it is singular."""
-    n = len(right)
-    rows = [[*r, b] for r, b in zip(matrix, right, strict=True)]
-    for i in range(n):
-        pivot = max(range(i, n), key=lambda j: abs(rows[j][i]))
-        if abs(rows[pivot][i]) < 1e-12:
-            return None
-        rows[i], rows[pivot] = rows[pivot], rows[i]
-        for j in range(n):
-            if j != i:
-                f = rows[j][i] / rows[i][i]
-                rows[j] = [x - f * y for x, y in zip(rows[j], rows[i], strict=True)]
-    return [rows[i][n] / rows[i][i] for i in range(n)]
+def _along(step: list[float]) -> Column:
+    """p . step of a row."""
+    return sum((F.col(f"p{i}") * float(x) for i, x in enumerate(step)), F.lit(0.0))
 
 
-def fit_rates(members: DataFrame, weights: list[float], *, total: float | None = None, scale_to_keep: float | None = None) -> tuple[Column, list[float], list[float]]:
-    """The rate of a row of members as a column, the target token totals, and the totals reached.
+def fit_rates(members: DataFrame, weights: list[float], *, total: float | None = None, scale_to_keep: float | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float], list[float], bool]:
+    """members with rate, the target token totals, the totals reached, and whether it converged.
 
     weights: the domains' shares of the target; total: its tokens (default: those there are), or with
     scale_to_keep the least total in which no domain shrinks, times this factor.
     """
     k = range(len(weights))
+    names = members.columns
     size = sum(weights)
-    sums = members.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * F.col(f"p{i}")).alias(f"a{i}") for i in k], *[F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in k for j in range(i + 1)]).first()
+    sums = members.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * F.col(f"p{i}")).alias(f"a{i}") for i in k]).first()
     n = float(sums["n"] or 0)
     if not n:
-        return F.lit(1.0), [0.0 for _ in k], [0.0 for _ in k]
+        return members.withColumn("rate", F.lit(1.0)), [0.0 for _ in k], [0.0 for _ in k], True
     have = [sums[f"a{i}"] for i in k]
     share = [w / size for w in weights]
     if scale_to_keep is not None:
         total = scale_to_keep * max(h / s for h, s in zip(have, share, strict=True) if s > 0)
     target = [s * (n if total is None else total) for s in share]
-    matrix = [[sums[f"m{max(i, j)}_{min(i, j)}"] / n for j in k] for i in k]
-    plain = 1.0 / max(sum(abs(x) for x in row) for row in matrix)  # the largest eigenvalue is at most the largest row sum
-    rate, reached = F.lit(1.0), have
-    gap = lambda got: [(g - t) / n for g, t in zip(got, target, strict=True)]
-    loss = lambda got: sum(x * x for x in gap(got))
-    for _ in range(STEPS):
-        if math.sqrt(loss(reached)) <= TOLERANCE * sum(target) / n:
+    gap_of = lambda got: [(g - t) / n for g, t in zip(got, target, strict=True)]
+    table, rate = members.withColumn("rate", F.lit(1.0)), F.col("rate")
+    nested = 0  # steps since the table, if a rate has been 0 among them
+    straight: list[float] | None = [0.0 for _ in k]  # their sum, as long as none has
+    gap = gap_of(have)
+    reached, losses = have, [sum(x * x for x in gap)]
+    length, converged = 1.0, False
+    goal = tolerance * sum(target) / n
+    for _ in range(steps):
+        if math.sqrt(losses[-1]) <= goal:
+            converged = True
             break
-        better = False
-        for step in (_solve(matrix, gap(reached)), [plain * g for g in gap(reached)]):
-            if step is None:
-                continue
-            moved = F.greatest(F.lit(0.0), rate - sum((F.col(f"p{i}") * float(step[i]) for i in k), F.lit(0.0)))
-            got = members.agg(*[F.sum(F.col("n_tokens") * F.col(f"p{i}") * moved).alias(f"a{i}") for i in k]).first()
-            got = [got[f"a{i}"] or 0.0 for i in k]
-            if loss(got) < loss(reached):
-                rate, reached, better = moved, got, True
+        for attempt in (length, 1.0):  # 1 is safe: sum_d n_d p_d p_d' / n has no eigenvalue above 1
+            step = [attempt * g for g in gap]
+            before = rate if straight is None else F.col("rate") - _along(straight)
+            after = F.greatest(F.lit(0.0), before - _along(step))
+            moved = table.select("n_tokens", *[F.col(f"p{i}") for i in k], before.alias("before"), after.alias("after"))
+            got = moved.agg(
+                *[F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col("after")).alias(f"a{i}") for i in k],
+                F.min("after").alias("least"),
+                F.sum(F.col("n_tokens") * (F.col("after") - F.col("before")) * (F.col("after") - F.col("before"))).alias("change"),
+            ).first()
+            now = [got[f"a{i}"] or 0.0 for i in k]
+            new_gap = gap_of(now)
+            loss = sum(x * x for x in new_gap)
+            if loss <= max(losses[-MEMORY:]) or attempt == 1.0:
                 break
-        if not better:
+        if straight is not None and got["least"] > 0:
+            straight = [a + b for a, b in zip(straight, step, strict=True)]
+        else:
+            straight, rate, nested = None, after, nested + 1
+        change = (got["change"] or 0.0) / n  # squared length of the step
+        bent = sum((b - a) ** 2 for a, b in zip(gap, new_gap, strict=True))  # the same through the membership matrix
+        gap, reached = new_gap, now
+        losses.append(loss)
+        if math.sqrt(change) <= tolerance * attempt:
+            converged = True
             break
-    return rate, target, reached
+        length = min(1e6, max(1e-3, change / bent)) if bent > 0 else 1.0
+        if nested >= DEPTH:
+            table, rate, nested = scratch(table.select(*names, rate.alias("rate")), "rates"), F.col("rate"), 0
+    last = rate if straight is None else F.col("rate") - _along(straight)
+    return table.select(*names, last.alias("rate")), target, reached, converged
 
 
 def tempered(members: DataFrame, k: int, power: float) -> list[float]:
@@ -133,23 +150,29 @@ def tempered(members: DataFrame, k: int, power: float) -> list[float]:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, *, power: float = 0.7, weights: dict[str, float] | None = None, total: float | None = None, scale_to_keep: float | None = None) -> tuple[DataFrame, list[str], list[float], list[float]]:
-    """(doc_id, n_tokens, posterior array<struct<domain, p>>, rate), domains, target totals, totals reached."""
+    """(doc_id, n_tokens, posterior array<struct<domain, p>>, rate, converged), domains, target totals, totals reached."""
     domains, model, priors = fit_domains(docs, labelled)
     members = scratch(posteriors(docs, model, priors), "members")
     shares = [weights.get(d, 0.0) for d in domains] if weights else tempered(members, len(domains), power)
-    rate, target, reached = fit_rates(members, shares, total=total, scale_to_keep=scale_to_keep)
+    rated, target, reached, converged = fit_rates(members, shares, total=total, scale_to_keep=scale_to_keep)
     posterior = F.array(*[F.struct(F.lit(d).alias("domain"), F.col(f"p{i}").alias("p")) for i, d in enumerate(domains)])
-    return members.select("doc_id", "n_tokens", posterior.alias("posterior"), rate.alias("rate")), domains, target, reached
+    return rated.select("doc_id", "n_tokens", posterior.alias("posterior"), "rate", F.lit(converged).alias("converged")), domains, target, reached
 
 
 def draw(docs: DataFrame, rates: DataFrame, *, least: int = 0) -> DataFrame:
     """docs with each document as often as its rate says: its whole part, and once more with the
-    fraction as chance, decided by a hash of the id; `least` copies at any rate."""
+    fraction as chance, decided by a hash of the id; `least` copies at any rate. A frequent id (null among them) is
+    split off the join; a document without a rate is left out."""
     chance = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     copies = F.greatest(F.lit(least), (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
-    times = rates.select(F.col("doc_id").alias("_id"), copies.alias("_copies"))
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"])).filter("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select([docs[c] for c in docs.columns])
+    times = scratch(rates.groupBy("doc_id").agg(F.max("rate").alias("rate")).select("doc_id", copies.alias("copies")), "copies")
+    packed = docs.select(quoted("doc_id").alias("id"), F.struct(F.lit(0).alias("_"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("whole"))
+    known = join_unique(packed.filter("id is not null"), times.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "copies"), "id", counted=docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")))
+    of_null = times.filter("doc_id is null").select("copies").first()
+    none = packed.filter("id is null").withColumn("copies", F.lit(of_null["copies"] if of_null else 0))
+    both = known.select("whole", "copies").unionByName(none.select("whole", "copies")).filter("copies > 0")
+    again = both.select("whole", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return again.select(*[F.col(f"whole.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def language_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
