@@ -2,8 +2,9 @@
 
 Each round points every node at the least node of its neighbourhood; the edge set shrinks to
 stars. Rounds grow with the logarithm of the longest chain. A node's least neighbour comes from an
-aggregation with map-side combine and is joined back, so a node with very many links is never
-gathered in one task. Every round is cut by checkpoint() into the shared folder.
+aggregation with map-side combine and is joined back by node; the nodes with very many links (the centres of
+large stars) are split off that join and broadcast, a bounded number of them, so none of them is a task of its
+own size. Every round is cut by checkpoint() into the shared folder.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrina.llm.common import shared_dir
+from vitrina.llm.common import join_unique, shared_dir
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -21,8 +22,9 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """pairs (a, b): b is a neighbour of a. Links of a's larger (large) or not larger neighbours to a's least one."""
     seen = pairs if large else pairs.filter("b < a")
-    least = seen.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = seen.join(least, "a")
+    stats = seen.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n").checkpoint()
+    least = stats.select("a", "m")
+    joined = join_unique(seen, least, "a", counted=stats.select("a", "n"))
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -42,7 +44,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        now = _star(_star(_both_ways(now), large=True), large=False).checkpoint()
+        now = _star(_star(_both_ways(now), large=True).checkpoint(), large=False).checkpoint()
         before, mark = mark, _mark(now)
         if mark == before:
             break
