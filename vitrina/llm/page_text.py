@@ -11,11 +11,15 @@ with entropies in units of log(pages), so a branch that says the same on every p
 that differs on every page 1; a branch outside of article and main whose text is nearly all links has 0. Pages of a host that say and
 show the same count once. With many presentations the sum fades the content out, and the mix of a few
 shapes falls with log(pages), so importance alone condemns nothing: a branch is removed where importance
-and H(content) are below the threshold, its own and those of every judged branch inside it. The merge is
-a distinct over pages that have judged branches, keyed by all they hold, and an aggregation by (host, path,
+and H(content) are low, its own and those of every judged branch inside it. Both are drawn towards 1 by the weight of a few
+pages that would differ: on n pages s counts as (w + n * s) / (w + n). w is such that a branch that always says
+the same reaches the threshold on `min_pages` (8) different pages; so fewer pages say too little, by the same rule for every host.
+
+The merge is a distinct over pages that have judged branches, keyed by all they hold, and an aggregation by (branch,
 feature) with map-side combine, so a host with a third of all pages is no more than a few hot keys with
-partial sums. A branch on fewer than `min_pages` (8) different pages of its host is never removed: so few
-pages say too little about repetition, and a host of fewer pages has no style tree.
+partial sums. A branch is its host and path as a 128-bit hash, so deep pages cost no more than their tags: a page is walked in
+linear time, and what branches hold comes from running sums and rolling hashes. What stands inside a branch is found by
+doubling steps up the tree, as many as the logarithm of its depth.
 
 What HTML says by itself needs no statistics: menus, headers, footers, asides, forms, scripts and
 the like are removed by tag, role or class words; where a page marks its article (or main part), only
@@ -24,13 +28,15 @@ repetition, only whole containers are: a passage that many pages quote stays.
 
 Defined results: null or empty html gives an empty text; a page is processed whole; unclosed tags end
 with their parents, a new paragraph ends an open one; a page without a host is a host of its own
-name ""; a repeated page row is extracted row by row; an empty table gives none.
+name ""; a repeated page row is extracted row by row; an empty table gives none; columns text and n_chars are replaced, all
+others stay.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,9 +44,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrina.llm.common import scratch
+from vitrina.llm.common import ROW, join_unique, pack_row, quoted, scratch
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+#: Comments, tags (quotes count behind "=" only), tags whose quotes never close, other markup. After a tag of
+#: the second last kind the rest of a page is read without quotes, so that nothing is searched twice.
+COMMENT, PLAIN_TAG, OTHER = r"<!--.*?(?:-->|\Z)", r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", r"<[!?/][^>]*>"
+TAG = re.compile(rf"""{COMMENT}|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+)>|{PLAIN_TAG}|{OTHER}""", re.S)
+UNQUOTED = re.compile(f"{COMMENT}|(?!)()()()|{PLAIN_TAG}|{OTHER}", re.S)
 ATTR = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,7 +61,7 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPE = frozenset(("table", "ul", "ol", "dl", "td", "th", "body", "html", "article", "section", "div", "select", "main"))
 CELL = frozenset(("td", "th", "br", "option"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-NOISE_TAGS = frozenset("nav header footer aside form script style noscript template iframe svg math button select textarea dialog head title menu object canvas audio video label datalist noembed noframes".split())
+NOISE_TAGS = frozenset("nav header footer aside form script style noscript template iframe button select textarea dialog head title menu datalist noembed noframes".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class names and ids that name what is not the article.
 NOISE_WORDS = frozenset(
@@ -63,20 +73,62 @@ COMMENT_WORDS = frozenset("comment comments respond disqus reply replies related
 #: nothing inline, which would go from the middle of a sentence.
 JUDGED = frozenset("div section ul ol dl table figure center details fieldset".split())
 GAMMA, THRESHOLD, LINK_SHARE, MIN_PAGES = 0.9, 0.2, 0.75, 8
-#: A step of a path that is an article or main part.
-ROOT_STEP = r">(article|main)(\.|>|$)"
-#: A model of removed branches up to this many bytes is broadcast; a larger one is joined by host.
+#: Removed branches up to so many bytes in all are broadcast; of more, each page gets its own by a join.
 BROADCAST_BYTES = 32 << 20
+#: A branch in a Python set takes about so many bytes.
+BRANCH_BYTES = 128
+#: Modulus and base of rolling hashes.
+MODULUS, BASE = (1 << 61) - 1, 0x2F0B4C47A9D5E3
+BARRIERS = SCOPE | NOISE_TAGS
+
+
+def path_id(parent: bytes, key: str) -> bytes:
+    """A branch: its parent's hash and its own key."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(parent + key.encode())
+
+
+def host_id(host: str) -> bytes:
+    return path_id(b"", host)
 
 
 class Element:
-    __slots__ = ("chars", "children", "dropped", "headings", "key", "link", "links", "path", "root", "tag", "text")
+    __slots__ = ("above", "children", "dropped", "first", "headings", "inside", "link", "path", "root", "tag")
 
-    def __init__(self, tag: str, key: str, path: str, dropped: str, root: bool, headings: bool, link: bool) -> None:
-        self.tag, self.key, self.path, self.dropped, self.root, self.headings, self.link = tag, key, path, dropped, root, headings, link
+    def __init__(self, tag: str, path: bytes, dropped: str, root: bool, headings: bool, link: bool, inside: bool, above: bytes | None, first: int) -> None:
+        #: above: the nearest judged branch around it; first: the first piece of text in it
+        self.tag, self.path, self.dropped, self.root, self.headings, self.link, self.inside, self.above, self.first = tag, path, dropped, root, headings, link, inside, above, first
         self.children: list[str] = []
-        self.text: list[str] = []
-        self.chars = self.links = 0
+
+
+class Branches:
+    """What a page's judged branches show and say, collected while it is walked."""
+
+    def __init__(self) -> None:
+        self.hashes, self.chars, self.links = [0], [0], [0]
+        self.found: dict[bytes, list] = {}
+
+    def text(self, text: str, link: bool) -> None:
+        import xxhash
+
+        self.hashes.append((self.hashes[-1] * BASE + xxhash.xxh3_64_intdigest(text) + 1) % MODULUS)
+        self.chars.append(self.chars[-1] + len(text))
+        self.links.append(self.links[-1] + len(text) * link)
+
+    def close(self, e: Element) -> None:
+        """A judged element that holds text, and nothing around it is left out."""
+        import xxhash
+
+        end = len(self.hashes) - 1
+        said = (self.hashes[end] - self.hashes[e.first] * pow(BASE, end - e.first, MODULUS)) % MODULUS
+        shown = xxhash.xxh3_64_intdigest(" ".join(e.children))
+        own = self.found.setdefault(e.path, [e.above, e.inside, 0, 0, 0, 0])
+        # a branch that a page has more than once: all of it, in order
+        own[2] = (own[2] * BASE + shown + 1) % MODULUS
+        own[3] = (own[3] * BASE + said + 1) % MODULUS
+        own[4] += self.chars[end] - self.chars[e.first]
+        own[5] += self.links[end] - self.links[e.first]
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -97,11 +149,10 @@ def _noise(tag: str, attrs: dict[str, str]) -> str:
     return "class" if named & NOISE_WORDS else ""
 
 
-def walk(html: str, root_tag: str, removed: frozenset[str], judge=None) -> list[str]:
+def walk(html: str, root_tag: str, removed: frozenset[bytes] = frozenset(), host: bytes = b"", tree: Branches | None = None) -> list[str]:
     """The blocks of text inside the outermost root elements (all of the page if root_tag is empty).
 
-    removed: paths that the site's statistics rule out. judge(element): called as a judged container closes,
-    and last with the whole page, which has no tag.
+    removed: branches that the site's statistics rule out. tree: collects what judged branches hold.
     """
     blocks: list[str] = []
     now: list[str] = []
@@ -112,33 +163,34 @@ def walk(html: str, root_tag: str, removed: frozenset[str], judge=None) -> list[
                 blocks.append(text)
             now.clear()
 
-    top = Element("", "", "", "", not root_tag, False, False)
-    stack = [top]
+    stack = [Element("", host, "", not root_tag, False, False, False, None, 0)]
+    open_at: dict[str, list[int]] = {}  # places in the stack, by tag
+    barriers: list[int] = []
+    headings = 0  # open ones
 
     def close() -> None:
+        nonlocal headings
         gone = stack.pop()
+        open_at[gone.tag].pop()
+        if gone.tag in BARRIERS:
+            barriers.pop()
+        headings -= gone.tag in HEADINGS
         if gone.tag in BLOCK:
             flush()
-        if judge is not None and gone.text:
-            parent = stack[-1]
-            parent.text += gone.text
-            parent.chars += gone.chars
-            parent.links += gone.links
-            if gone.tag in JUDGED:
-                judge(gone)
+        if tree is not None and gone.tag in JUDGED and not gone.dropped and len(tree.hashes) - 1 > gone.first:
+            tree.close(gone)
 
     def add(text: str) -> None:
         last = stack[-1]
-        if last.root and not last.dropped or last.root and last.headings and any(e.tag in HEADINGS for e in stack):
+        if last.root and (not last.dropped or last.headings and headings):
             now.append(text)
-        if judge is not None and not last.dropped and not text.isspace():
-            last.text.append(text)
-            last.chars += len(text)
-            last.links += len(text) * last.link
+        if tree is not None and not last.dropped and not text.isspace():
+            tree.text(text, last.link)
 
-    at, size = 0, len(html)
+    at, size, last_end, pattern = 0, len(html), html.rfind(">"), TAG
     while at < size:
-        m = TAG.search(html, at)
+        # behind the last ">" no tag can end, and nothing is searched; an open comment hides the rest
+        m = pattern.search(html, at) if at <= last_end or "<!--" in html[at:] else None
         if m is None:
             add(html[at:])
             break
@@ -148,20 +200,20 @@ def walk(html: str, root_tag: str, removed: frozenset[str], judge=None) -> list[
         tag = m[2] or m[5]
         if tag is None:
             continue
+        if m[5]:
+            pattern = UNQUOTED
         tag = tag.lower()
         if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    while len(stack) > i:
-                        close()
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+            if open_at.get(tag):
+                place = open_at[tag][-1]
+                while len(stack) > place:
+                    close()
+            elif tag in BLOCK:
+                flush()
             continue
         raw = m[3] if m[2] else m[6]
         if tag in RAW and not raw.endswith("/"):
-            end = RAW[tag].search(html, at)
+            end = RAW[tag].search(html, at, last_end + 1)
             at = end.end() if end else size
             continue
         if tag in CELL:
@@ -169,23 +221,22 @@ def walk(html: str, root_tag: str, removed: frozenset[str], judge=None) -> list[
         ends = ("p",) if tag in ENDS_P else ()
         ends += SAME.get(tag, ())
         if ends:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    while len(stack) > i:
-                        close()
-                elif stack[i].tag in SCOPE or stack[i].dropped and stack[i].tag in NOISE_TAGS:
-                    break
+            barrier = next((i for i in reversed(barriers) if stack[i].tag not in ends), 0)
+            places = [own[i] for t in ends if (own := open_at.get(t)) and (i := bisect_right(own, barrier)) < len(own)]
+            if places:
+                place = min(places)
+                while len(stack) > place:
+                    close()
         if tag in BLOCK:
             flush()
         parent = stack[-1]
-        if judge is not None:
+        if tree is not None:
             parent.children.append(tag)
         if tag in VOID:
             continue
         attrs = _attributes(raw)
         named = re.sub(r"[\d\s]+", " ", attrs.get("class", "")).strip().lower() if attrs else ""
-        key = f"{tag}.{named}" if named else tag
-        path = f"{parent.path}>{key}"
+        path = path_id(parent.path, f">{tag}.{named}" if named else f">{tag}") if tree is not None or removed else b""
         noise = _noise(tag, attrs)
         opens = tag == root_tag and not parent.root
         if tag in ("html", "body", "main") or (tag == "article" and noise == "class"):
@@ -194,22 +245,26 @@ def walk(html: str, root_tag: str, removed: frozenset[str], judge=None) -> list[
         if opens and dropped == "class":
             dropped = ""
         dropped = dropped or noise or ("site" if path in removed else "")
-        headings = parent.headings or (tag == "header" or "header" in named) and not parent.dropped
-        stack.append(Element(tag, key, path, dropped, parent.root or opens and not dropped, headings, parent.link or tag == "a"))
+        in_headings = parent.headings or (tag == "header" or "header" in named) and not parent.dropped
+        above = parent.path if parent.tag in JUDGED else parent.above
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in BARRIERS:
+            barriers.append(len(stack))
+        headings += tag in HEADINGS
+        stack.append(Element(tag, path, dropped, parent.root or opens and not dropped, in_headings, parent.link or tag == "a", parent.inside or tag in ("article", "main"), above, len(tree.hashes) - 1 if tree is not None else 0))
     while len(stack) > 1:
         close()
     flush()
-    if judge is not None:
-        judge(top)
     return blocks
 
 
-def main_text(html: str, removed: frozenset[str] = frozenset()) -> str:
+def main_text(html: str, removed: frozenset[bytes] = frozenset(), host: str = "") -> str:
     """The article's blocks, one a line; statistics that would leave nothing are not applied."""
+    small = html.lower()
     for root in ("article", "main", ""):
-        if not root or f"<{root}" in html.lower():
-            for paths in (removed, frozenset()):
-                if blocks := walk(html, root, paths):
+        if not root or f"<{root}" in small:
+            for branches in (removed, frozenset()):
+                if blocks := walk(html, root, branches, host_id(host)):
                     return "\n".join(blocks)
                 if not removed:
                     break
@@ -221,69 +276,56 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _hash(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
-
-
-def page_branches(html: str) -> tuple[int, list[tuple[str, int, int, int, int]]]:
-    """A page's text outside of menus and the like as one hash, and path, presentation, content,
-    characters, characters in links of each of its judged branches."""
-    found: dict[str, list] = {}
-    said: list[str] = []
+def page_branches(html: str, host: str) -> tuple[int, dict[bytes, list]]:
+    """A page's text outside of menus and the like as one hash, and of each of its judged branches: the judged branch
+    above it, whether it is in an article or main part, presentation, content, characters, characters in links."""
+    tree = Branches()
+    walk(html, "", frozenset(), host_id(host), tree)
+    return tree.hashes[-1], tree.found
 
-    def judge(e: Element) -> None:
-        if not e.tag:
-            said.extend(e.text)
-            return
-        if e.dropped:
-            return
-        text = "".join(e.text)
-        own = found.setdefault(e.path, [[], [], 0, 0])
-        own[0].append(" ".join(e.children))
-        own[1].append(text)
-        own[2] += e.chars
-        own[3] += e.links
 
-    walk(html, "", frozenset(), judge)
-    return _hash("".join(said)), [(path, _hash("|".join(a)), _hash("\x00".join(b)), n, k) for path, (a, b, n, k) in found.items()]
+BRANCH = "path: binary, above: binary, inside: boolean, shown: long, said: long, chars: long, links: long"
+PAGE = f"page binary, host string, said long, own array<struct<{BRANCH}>>"
 
 
-def branches(html: str) -> list[tuple[str, int, int, int, int]]:
-    """The judged branches of a page alone."""
-    return page_branches(html)[1]
+def _page_key(url_col: str, html_col: str):
+    """The same for rows of the same address and page."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(quoted(url_col), F.lit("")), F.lit("\x00"), F.coalesce(quoted(html_col), F.lit(""))), 256))
 
 
-PAGE = "host string, said long, own array<struct<path: string, shown: long, said: long, chars: long, links: long>>"
-
-
-def site_importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, path, n_pages, importance and content (its entropy alone) of every judged branch of every host.
-
-    A branch on fewer than min_pages different pages has importance 1.
-
-    Pages of a host with the same text and the same branches count as one.
-    """
+def branches_of_pages(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page (a key of address and page), host, said, own (its judged branches) of pages that have any; one row for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        branch = pa.struct([("path", pa.string()), ("shown", pa.int64()), ("said", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())])
+        names = ["path", "above", "inside", "shown", "said", "chars", "links"]
+        branch = pa.struct([("path", pa.binary()), ("above", pa.binary()), ("inside", pa.bool_()), *[(n, pa.int64()) for n in names[3:]]])
         for batch in batches:
-            hosts, texts, owns = [], [], []
+            keys, hosts, texts, owns = [], [], [], []
             for i in range(batch.num_rows):
-                text, own = page_branches(batch.column(1)[i].as_py() or "")
+                host = host_of(batch.column(1)[i].as_py())
+                text, own = page_branches(batch.column(2)[i].as_py() or "", host)
                 if own:
-                    hosts.append(host_of(batch.column(0)[i].as_py()))
+                    keys.append(batch.column(0)[i].as_py())
+                    hosts.append(host)
                     texts.append(text)
-                    owns.append([dict(zip(("path", "shown", "said", "chars", "links"), x, strict=True)) for x in own])
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(texts, pa.int64()), pa.array(owns, pa.list_(branch))], ["host", "said", "own"])
+                    owns.append([dict(zip(names, (path, *held), strict=True)) for path, held in own.items()])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(hosts, pa.string()), pa.array(texts, pa.int64()), pa.array(owns, pa.list_(branch))], ["page", "host", "said", "own"])
+
+    return pages.select(_page_key(url_col, html_col).alias("page"), quoted(url_col).alias("url"), quoted(html_col).alias("html")).mapInArrow(run, PAGE)
+
 
-    each = pages.select(F.col(url_col), F.col(html_col)).mapInArrow(run, PAGE).distinct().select("host", F.explode("own").alias("b"))
-    kinds = F.explode(F.array(F.struct(F.lit("p").alias("kind"), F.col("b.shown").alias("feature"), F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("links")), F.struct(F.lit("c").alias("kind"), F.col("b.said").alias("feature"), F.col("b.chars").alias("chars"), F.col("b.links").alias("links"))))
-    seen = each.select("host", F.col("b.path").alias("path"), kinds.alias("x")).select("host", "path", "x.*")
-    counted = seen.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+def site_importance(seen: DataFrame) -> DataFrame:
+    """path, above, host, n_pages, importance and content (its entropy alone) of every judged branch of branches_of_pages().
+
+    Pages of a host with the same text and the same branches count as one.
+    """
+    each = seen.select("host", "said", "own").distinct().select("host", F.explode("own").alias("b")).select("host", "b.*")
+    fixed = ["path", "above", "inside", "host"]
+    zero = F.lit(0).cast("long")
+    kinds = F.explode(F.array(F.struct(F.lit("p").alias("kind"), F.col("shown").alias("feature"), zero.alias("c"), zero.alias("k")), F.struct(F.lit("c").alias("kind"), F.col("said").alias("feature"), F.col("chars").alias("c"), F.col("links").alias("k"))))
+    counted = each.select(*fixed, kinds.alias("x")).select(*fixed, "x.*").groupBy(*fixed, "kind", "feature").agg(F.count("*").alias("n"), F.sum("c").alias("chars"), F.sum("k").alias("links"))
     of = lambda kind, col: F.sum(F.when(F.col("kind") == kind, col))
-    sums = counted.groupBy("host", "path").agg(
+    sums = counted.groupBy(*fixed).agg(
         of("c", F.col("n")).alias("n_pages"),
         of("p", F.col("n") * F.log("n")).alias("p_sum"),
         of("c", F.col("n") * F.log("n")).alias("c_sum"),
@@ -295,53 +337,56 @@ def site_importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "
     entropy = lambda c: F.when(F.col("n_pages") > 1, 1 - F.col(c) / F.col("n_pages") / pages_log).otherwise(F.lit(1.0))
     fade = F.pow(F.lit(GAMMA), F.col("kinds"))
     weighed = (1 - fade) * entropy("p_sum") + fade * entropy("c_sum")
-    linked = (F.col("links") >= LINK_SHARE * F.col("chars")) & ~F.col("path").rlike(ROOT_STEP)
-    importance = F.when(F.col("n_pages") < min_pages, 1.0).when(linked, 0.0).otherwise(weighed)
-    return sums.select("host", "path", "n_pages", importance.alias("importance"), entropy("c_sum").alias("content"))
+    linked = (F.col("links") >= LINK_SHARE * F.col("chars")) & ~F.col("inside")
+    return sums.select("path", "above", "host", "n_pages", F.when(linked, 0.0).otherwise(weighed).alias("importance"), entropy("c_sum").alias("content"))
 
 
-def removable(importance: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """host, path of the branches to remove: importance and content are below the threshold, theirs and
-    those of every judged branch inside them."""
-    score = F.greatest("importance", "content")
-    steps = F.split("path", ">")
-    above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.struct(F.xxhash64(F.array_join(F.slice(steps, 1, i), ">")).alias("at"), (i == F.size(steps)).alias("own")))
-    parts = importance.select("host", "path", score.alias("score"), F.explode(above).alias("x"))
-    whole = parts.groupBy("host", "x.at").agg(F.max("score").alias("score"), F.max(F.when(F.col("x.own"), F.col("path"))).alias("path"))
-    return whole.filter(F.col("path").isNotNull() & (F.col("score") < threshold)).select("host", "path")
+def removable(importance: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
+    """path of the branches to remove: importance and content are low, theirs and those of every judged branch
+    inside them. Each round looks twice as far down the tree."""
+    weight = threshold * min_pages / (1 - threshold)
+    score = (weight + F.col("n_pages") * F.greatest("importance", "content")) / (weight + F.col("n_pages"))
+    tree = scratch(importance.select("path", F.col("above").alias("up"), score.alias("score")), "style-tree")
+    ones = tree.select("path", F.lit(1).alias("n"))
+    while not tree.filter("up is not null").isEmpty():
+        below = scratch(tree.filter("up is not null").groupBy(F.col("up").alias("path")).agg(F.max("score").alias("below")), "style-tree-below")
+        raised = join_unique(tree, below, "path", "left", counted=ones).select("path", "up", F.greatest("score", "below").alias("score"))
+        next_up = scratch(tree.select(F.col("path").alias("up"), F.col("up").alias("next")), "style-tree-up")
+        tree = scratch(join_unique(scratch(raised, "style-tree-raised"), next_up, "up", "left").select("path", F.col("next").alias("up"), "score"), "style-tree")
+    return tree.filter(F.col("score") <= threshold + 1e-9).select("path")
 
 
 def extract_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages with text and n_chars in place of nothing else; columns of these names are replaced."""
-    model = scratch(removable(site_importance(pages, url_col=url_col, html_col=html_col, min_pages=min_pages), threshold), "style-tree")
-    size = model.agg(F.sum(F.length("host") + F.length("path") + 64).alias("n")).first()["n"] or 0
-    kept = [f for f in pages.schema.fields if f.name not in ("text", "n_chars", "_removed")]
-    out = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    names = [f.name for f in kept]
-    small = size <= BROADCAST_BYTES
+    seen = scratch(branches_of_pages(pages, url_col=url_col, html_col=html_col), "page-branches")
+    model = scratch(removable(site_importance(seen), threshold, min_pages), "removed-branches")
+    kept = [c for c in pages.columns if c not in ("text", "n_chars")]
+    packed = pack_row(pages.select(*[quoted(c) for c in pages.columns if c in kept or c in (url_col, html_col)]))
+    places = {c: i for i, c in enumerate(c for c in pages.columns if c in kept or c in (url_col, html_col))}
+    url, html = (F.col(f"{ROW}.c{places[c]}") for c in (url_col, html_col))
+    rows = packed.select(ROW, url.alias("url"), html.alias("html"))
+    small = model.count() * BRANCH_BYTES <= BROADCAST_BYTES
     if small:
-        of_host: dict[str, set[str]] = {}
-        for r in model.collect():
-            of_host.setdefault(r["host"], set()).add(r["path"])
-        shared = pages.sparkSession.sparkContext.broadcast({h: frozenset(p) for h, p in of_host.items()})
-        source = pages.select(names)
+        shared = pages.sparkSession.sparkContext.broadcast(frozenset(bytes(r["path"]) for r in model.collect()))
+        source = rows.withColumn("removed", F.lit(None).cast("array<binary>"))
     else:
-        lists = model.groupBy("host").agg(F.collect_set("path").alias("_removed"))
-        host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-        source = pages.select(*names, host.alias("_host")).join(lists.withColumnRenamed("host", "_host"), "_host", "left").select(*names, "_removed")
+        own = scratch(seen.select("page", F.explode("own").alias("b")).select("page", F.col("b.path").alias("path")).distinct(), "page-paths")
+        lists = scratch(join_unique(own, model.withColumn("one", F.lit(1)), "path").groupBy("page").agg(F.collect_set("path").alias("removed")), "page-removed")  # of a page's own branches
+        counted = seen.groupBy("page").agg(F.count("*").alias("n"))
+        source = join_unique(rows.withColumn("page", _page_key("url", "html")), lists, "page", "left", counted=counted).select(ROW, "url", "html", "removed")
+    out = T.StructType([source.schema[ROW], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value if small else {}
-        none: frozenset[str] = frozenset()
+        none: frozenset[bytes] = frozenset()
         for batch in batches:
-            at = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
             texts = []
             for i in range(batch.num_rows):
-                removed = models.get(host_of(at[url_col][i].as_py()), none) if small else frozenset(at["_removed"][i].as_py() or ())
-                texts.append(main_text(at[html_col][i].as_py() or "", removed))
-            yield pa.RecordBatch.from_arrays([*[at[n] for n in names], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], out.names)
+                removed = shared.value if small else frozenset(batch.column(3)[i].as_py() or ()) or none
+                texts.append(main_text(batch.column(2)[i].as_py() or "", removed, host_of(batch.column(1)[i].as_py())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], out.names)
 
-    return source.mapInArrow(run, out)
+    done = source.mapInArrow(run, out)
+    return done.select(*[F.col(f"{ROW}.c{places[c]}").alias(c) for c in kept], "text", "n_chars")
 
 
 def contract(pages: DataFrame) -> DataFrame:
