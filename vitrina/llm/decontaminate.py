@@ -5,8 +5,9 @@ texts are streamed through it word by word; the automaton's state gives the long
 so far that occurs in any item, so every occurrence of a 13-word window (or of a whole shorter
 item) is found in one pass over the words, whatever the number of items.
 
-The automaton grows with the benchmark, not with the corpus: its words are counted before they
-are collected, and above `max_items_words` the operator refuses instead of broadcasting.
+The automaton grows with the benchmark, not with the corpus: its size is measured before anything is
+collected. A benchmark of more than `max_item_words` words is dealt into blocks of items by hash, each with an automaton of its
+own; texts pass through one after the other, only documents with hits leave a pass, and their spans and items are merged.
 
 Defined results: a null or empty text has no words and is clean; items without words match
 nothing; repeated items and repeated item ids count once; repeated documents are judged one by
@@ -17,13 +18,15 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrina.llm.common import bytes_of, map_rows
+from vitrina.llm.common import bytes_of, map_rows, quoted, scratch
 
 #: Words are runs of a-z (after lower-casing A-Z), digits and all non-ASCII characters. On UTF-8
 #: bytes that is one table: every other ASCII byte becomes a space, so that split() finds the words.
@@ -148,22 +151,31 @@ class SuffixAutomaton:
             items |= self.items[s]
         for s in wholes:
             items |= self.whole[s]
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(spans):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        return merged, items
+        return merge_spans(spans), items
 
 
-def load_items(benchmark: DataFrame, item_col: str, text_col: str, max_item_words: int) -> list[tuple[str, list[bytes]]]:
-    """The benchmark's items, once its size is known to fit one process."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def load_items(benchmark: DataFrame, item_col: str, text_col: str, max_item_words: int) -> list[DataFrame]:
+    """The benchmark's items (item, text) in blocks that fit one process each; one block unless it is very large."""
+    rows = benchmark.select(quoted(item_col).cast("string").alias("item"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    if size > 8 * max_item_words:
-        raise ValueError(f"the benchmark has {size} characters; max_item_words={max_item_words} bounds the automaton")
-    return [(r["item"] or "", split_words(r["text"].encode())) for r in rows.distinct().collect()]
+    n = max(1, -(-size // (8 * max_item_words)))
+    return [rows] if n == 1 else [rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)]
+
+
+def _share(block: DataFrame):
+    """An automaton's items as a broadcast variable with a name of its own."""
+    items = [(r["item"] or "", split_words(r["text"].encode())) for r in block.distinct().collect()]  # at most a block
+    return block.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items))
+
+
+def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
 
 
 def decontaminate(
@@ -179,35 +191,73 @@ def decontaminate(
 ) -> DataFrame:
     """docs with n_words, n_hit, items (ids that own a window found), spans (merged [from, to) in
     words) and contaminated (some word is hit, and hits are at least `coverage` of the words)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, load_items(benchmark, item_col, item_text_col, max_item_words)))
+    blocks = load_items(benchmark, item_col, item_text_col, max_item_words)
     per = round(1 / coverage, 9) if coverage else 0
 
-    def make():
-        automaton = _automaton(shared, window)
-
+    def told(found: list[tuple[int, list[tuple[int, int]], list[str]]]) -> list[pa.Array]:
+        """The added columns out of words, merged spans and items of each text."""
+        hits = [sum(b - a for a, b in spans) for _, spans, _ in found]
+        return [
+            pa.array([n for n, _, _ in found], pa.int64()),
+            pa.array(hits, pa.int64()),
+            pa.array([items for _, _, items in found], pa.list_(pa.string())),
+            pa.array([[list(x) for x in spans] for _, spans, _ in found], pa.list_(pa.list_(pa.int64()))),
+            pa.array([hit > 0 and (not per or per * hit >= n) for (n, _, _), hit in zip(found, hits, strict=True)], pa.bool_()),
+        ]
+
+    if len(blocks) == 1:
+        shared = _share(blocks[0])
+
+        def make():
+            automaton = _automaton(shared, window)
+
+            def work(batch: pa.RecordBatch) -> list[pa.Array]:
+                found = []
+                for text in bytes_of(batch, text_col):
+                    words = split_words(text)
+                    spans, owners = automaton.scan(words)
+                    found.append((len(words), spans, sorted(owners)))
+                return told(found)
+
+            return work
+
+        return map_rows(docs, ADDED, make)
+
+    # the operator's own names stand beside one struct of all columns
+    packed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(F.lit(0).alias("_"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("whole"), quoted(text_col).alias("text"))
+    rows = scratch(packed, "decontaminate")
+    passes = [scratch(_hits(rows.select("row", "text"), _share(block), window), "decontaminate-hits") for block in blocks]
+    hits = scratch(reduce(DataFrame.unionByName, passes).groupBy("row").agg(F.collect_list(F.struct("spans", "items")).alias("parts")), "decontaminate-parts")  # one for each block
+
+    def merge():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            n_words, n_hit, items, spans, bad = [], [], [], [], []
-            for text in bytes_of(batch, text_col):
-                words = split_words(text)
-                found, owners = automaton.scan(words)
-                hit = sum(b - a for a, b in found)
-                n_words.append(len(words))
-                n_hit.append(hit)
-                items.append(sorted(owners))
-                spans.append([list(x) for x in found])
-                bad.append(hit > 0 and (not per or per * hit >= len(words)))
-            return [
-                pa.array(n_words, pa.int64()),
-                pa.array(n_hit, pa.int64()),
-                pa.array(items, pa.list_(pa.string())),
-                pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-                pa.array(bad, pa.bool_()),
-            ]
+            parts = batch.column(batch.schema.get_field_index("parts")).to_pylist()
+            found = []
+            for text, own in zip(bytes_of(batch, "text"), parts, strict=True):
+                spans = merge_spans([tuple(x) for p in own or [] for x in p["spans"]])
+                found.append((len(split_words(text)), spans, sorted({x for p in own or [] for x in p["items"]})))
+            return told(found)
 
         return work
 
-    return map_rows(docs, ADDED, make)
+    judged = map_rows(rows.join(hits, "row", "left"), ADDED, merge)
+    added = {f.name for f in ADDED.fields}
+    return judged.select(*[F.col(f"whole.c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in added], *ADDED.names)
+
+
+def _hits(rows: DataFrame, shared, window: int) -> DataFrame:
+    """row, spans, items of the texts (row, text) in which one block of items is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(shared, window)
+        for batch in batches:
+            found = [(i, *automaton.scan(split_words(text))) for i, text in enumerate(bytes_of(batch, "text"))]
+            hit = [(i, spans, items) for i, spans, items in found if spans]
+            keys = batch.column(0).take(pa.array([i for i, _, _ in hit], pa.int64()))
+            arrays = [keys, pa.array([[list(x) for x in spans] for _, spans, _ in hit], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(items) for _, _, items in hit], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "spans", "items"])
+
+    return rows.mapInArrow(run, "row long, spans array<array<long>>, items array<string>")
 
 
 _built: dict = {}
@@ -254,10 +304,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     """docs without contaminated documents; spans of more than max_words hit words are cut out of the
     others, whose n_chars (if there is one) follows. Texts without such a span stay as they are."""
     others = [c for c in docs.columns if c != text_col]
-    row = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
-    judged = decontaminate(docs.select(row.alias("_row"), F.col(text_col).alias("text")), benchmark, **options)
-    kept = remove_spans(judged.filter(~F.col("contaminated")).select("_row", "text", "spans"), max_words=max_words)
-    own = {c: F.col(f"_row.c{i}") for i, c in enumerate(others)} | {text_col: F.col("text")}
+    row = F.struct(F.lit(0).alias("_"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(others)])
+    judged = decontaminate(docs.select(row.alias("row"), quoted(text_col).alias("text")), benchmark, **options)
+    kept = remove_spans(judged.filter(~F.col("contaminated")).select("row", "text", "spans"), max_words=max_words)
+    own = {c: F.col(f"row.c{i}") for i, c in enumerate(others)} | {text_col: F.col("text")}
     if "n_chars" in others:
         cut = F.exists("spans", lambda x: x[1] - x[0] > max_words)
         own["n_chars"] = F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])

@@ -119,4 +119,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.oracle_sql(), "op4_benchmark_decontamination": OP4_SQL, "op9_chat_formatting": OP9_SQL}
+    return {"op1_quality_rules": quality.oracle_sql(), "op4_benchmark_decontamination": OP4_SQL, "op8_license_scan": licenses.oracle_sql(), "op9_chat_formatting": OP9_SQL}

@@ -10,8 +10,8 @@ so a shard's blocks are decoded side by side, one table look-up for all of them
 rows (part, seq, payload) of a Parquet table, with the code lengths in a table beside it: only
 Spark's readers and writers touch files, so the folder may be on any file system.
 
-Defined results: a null text is empty and holds the end id only; equal doc_ids are ordered by their
-ids' bytes; a null doc_id comes first; a document of any length is whole (a shard takes at least
+Defined results: a null text is empty and holds the end id only; equal doc_ids are ordered by a hash of their
+ids, so very many rows of one id are dealt to many tasks; a null doc_id comes first; a document of any length is whole (a shard takes at least
 one document); an empty table writes no shard and reads back empty.
 """
 
@@ -388,11 +388,13 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, *, id_col
         if keys:
             yield flush()
 
-    # dealt by the id alone: the sample of range bounds that reaches the driver holds no payloads, and equal ids meet in one part
-    by_id = F.asc_nulls_first("doc_id")
-    dealt = encoded.repartitionByRange(parts, by_id) if parts > 1 else encoded.coalesce(1)
-    ordered = dealt.sortWithinPartitions(by_id, "ids")
-    ordered.mapInArrow(pack, SHARD).write.option("compression", "uncompressed").parquet(f"{path}/shards")
+    # dealt by the id, a hash of the ids and the row: the sample of range bounds that reaches the driver holds no payloads,
+    # and rows that are equal in all but their place may go anywhere
+    order = [F.asc_nulls_first("doc_id"), F.asc("hash"), F.asc("row")]
+    placed = encoded.select("doc_id", "ids", F.hash("ids").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    dealt = placed.repartitionByRange(parts, *order) if parts > 1 else placed.coalesce(1)
+    ordered = dealt.sortWithinPartitions(*order)
+    ordered.select("doc_id", "ids").mapInArrow(pack, SHARD).write.option("compression", "uncompressed").parquet(f"{path}/shards")
 
 
 DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
