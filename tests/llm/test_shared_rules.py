@@ -1,0 +1,135 @@
+"""Rules that hold for all ten operators and all stages: clashing columns, odd and very long texts, empty tables."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from vitrina.llm import chat, common, decontaminate, licenses, mixing, page_text, quality, simhash, token_counts, token_files, toxicity
+from vitrina.llm.common import read_table
+from vitrina.llm.queries import tokenizer_path
+
+#: Names that operators give to columns of their own somewhere inside.
+NAMES = (
+    "row whole w l h s p fp key word words unit passage passages score rate copies copy id n c0 page removed path stratum domain bucket n_tokens n_words spans items predicted evidence least component component_id "
+    "class_size held_out kept own own_license license tokens turn turns role blocks ids hash __packed_row__ _at _copies _copy _w _removed _host _row"
+).split()
+LONG = " ".join(f"word{i % 7000}" for i in range(40_000)) + "\n" + "x" * 60_000
+TEXTS = [None, "", " ", "\n\n", "same text here", "same text here", "Released under the MIT License.", "a b c " * 30, LONG, "é漢😀 ### $$$ " * 20, *(f"plain words number {i} " * 15 for i in range(12))]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i if i != 3 else None, t, "en" if i % 2 else None, f"s{i % 3}", len(t or "")) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame([*rows, rows[4]], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 4 == 0)) for i in range(4, 20)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "plain words number 3 plain words number 3 plain words number 3 plain"), (2, None)], "item_id long, text string")
+    return labels, bench
+
+
+def clashing(df):
+    """df with a column of each name that it has not."""
+    return df.select("*", *[F.lit(f"mine {n}").alias(n) for n in NAMES if n not in df.columns])
+
+
+def told(df, columns):
+    """The rows of a table's own columns, floating point numbers to nine digits."""
+
+    def plain(v):
+        if isinstance(v, float):
+            return "nan" if math.isnan(v) else f"{v:.9g}"
+        return str([plain(x) for x in v]) if isinstance(v, (list, tuple)) else str(v)
+
+    return sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
+
+
+def operators(spark, tables):
+    labels, bench = tables
+    vocabulary = token_counts.load_vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+
+    def files(d):
+        path = f"{common.shared_dir(spark)}/shared-{id(d)}"
+        token_files.write_token_files(d, tokenizer, path)
+        return token_files.read_token_files(spark, path).drop("start")
+
+    return {
+        "op1": lambda d: quality.judge(d, labels),
+        "op1_counts": lambda d: quality.text_counts(d).select("doc_id", "n_lines", "n_repeat_words"),
+        "op2": lambda d: toxicity.score(d, toxicity.fit(d, labels)).select("doc_id", "score", "predicted", "evidence"),
+        "op3": lambda d: token_counts.count_tokens(d, vocabulary).select("doc_id", "n_tokens"),
+        "op4": lambda d: decontaminate.decontaminate(d, bench).select("doc_id", *decontaminate.ADDED.names),
+        "op5": simhash.near_duplicates,
+        "op6": files,
+        "op7": lambda d: mixing.mix(d, mixing.language_labels(d, labels))[0],
+        "op8": lambda d: licenses.scan(d.withColumn("path", F.concat("source", F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("LICENSE"))))),
+        "op9": lambda d: chat.format_chats(d, conv_col="source", turn_col="doc_id", role_col="lang"),
+        "op10": lambda d: page_text.extract_text(d.withColumn("url", F.concat(F.lit("https://"), "source")), html_col="text").select("doc_id", "n_chars"),
+    }
+
+
+NUMBERS = ["op1", "op1_counts", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"]
+
+
+@pytest.mark.parametrize("name", NUMBERS)
+def test_clashing_columns_and_odd_texts(spark, docs, tables, name):
+    """The same rows with and without columns of clashing names, for null, empty, repeated and very long texts."""
+    run = operators(spark, tables)[name]
+    plain = run(docs)
+    rows = told(plain, plain.columns)
+    assert len(rows) == (3 if name == "op9" else 22 if name == "op7" else 23)
+    assert told(run(clashing(docs)), plain.columns) == rows
+    assert run(clashing(docs).limit(0)).count() == 0
+
+
+def test_kept_columns_of_results(spark, docs):
+    """Operators that return their input's rows keep every column, clashing ones too."""
+    mine = clashing(docs).drop("n_words", "n_tokens", "removed")
+    for got, gone in ((page_text.extract_text(mine.withColumn("url", F.lit("u")), html_col="lang"), {"text", "n_chars"}), (quality.text_counts(mine), {"text"})):
+        assert set(mine.columns) - gone <= set(got.columns)
+        assert got.filter("whole <> 'mine whole' or _removed <> 'mine _removed' or row <> 'mine row'").count() == 0
+    rates = mine.select("doc_id", F.lit(2.0).alias("rate")).distinct()
+    drawn = mixing.draw(mine, rates)
+    assert drawn.columns == mine.columns and drawn.count() == 2 * mine.count() and drawn.filter("_copies <> 'mine _copies'").count() == 0
+    one = simhash.keep_one(mine)
+    assert one.columns == mine.columns and one.filter("_at <> 'mine _at'").count() == 0
+
+
+def test_stages_keep_clashing_columns(spark, docs, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    mine = clashing(read_table(spark, sf_dir, "documents").limit(60)).drop("n_tokens")
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, mine, sf_dir)
+        assert got.columns == mine.columns and got.schema == mine.schema, name
+        assert got.filter(" or ".join(f"`{n}` <> 'mine {n}'" for n in NAMES if n in mine.columns and n != "n_tokens")).count() == 0, name
+        assert stage(spark, mine.limit(0), sf_dir).count() == 0, name
+    assert pipeline.STAGES[-1][1](spark, mine, sf_dir).count() == 60
+
+
+def test_frequent_keys_are_split_off(spark):
+    rows = [(1, i) for i in range(4000)] + [(k, k) for k in range(2, 2000)] + [(None, 0)]
+    left = spark.createDataFrame(rows, "k long, v long")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(1, 1500)], "k long, r string")
+    for how in ("inner", "left"):
+        got = common.join_unique(left, right, "k", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+    assert common.join_unique(left.limit(0), right, "k", "left").count() == 0
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)

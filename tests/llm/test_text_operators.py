@@ -7,6 +7,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from vitrina.llm import chat, components, decontaminate, simhash, token_counts, token_files
 from vitrina.llm.queries import tokenizer_path
@@ -31,19 +32,80 @@ def vocabulary():
     return token_counts.load_vocabulary(tokenizer_path("piece_bpe_32k.model"))
 
 
-def library(vocabulary):
-    from tokenizers import Tokenizer, models, pre_tokenizers
+def message(fields):
+    """A protocol buffer message out of (number, wire type, value)."""
 
-    t = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
-    t.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=True)
-    return t
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    return b"".join(varint(n << 3 | kind) + (varint(v) if kind == 0 else v if kind == 5 else varint(len(v)) + v) for n, kind, v in fields)
+
+
+def unigram_model(path, scores):
+    """The sentencepiece library's own unigram model with the pieces of a file and other scores for text pieces."""
+    import struct
+
+    import sentencepiece
+
+    with open(path, "rb") as f:
+        fields = token_counts.proto_fields(f.read())
+    out, left = [], iter(scores)
+    for n, kind, v in fields:
+        if n == 1:
+            own = {a: c for a, _, c in token_counts.proto_fields(v)}
+            if own.get(3, 1) == 1:
+                v = message([(1, 2, own[1]), (2, 5, struct.pack("<f", next(left)))])
+        elif n == 2:
+            v = message([x if x[0] != 3 else (3, 0, 1) for x in token_counts.proto_fields(v)])
+        out.append((n, kind, v))
+    return sentencepiece.SentencePieceProcessor(model_proto=message(out))
 
 
 def test_token_counts_match_the_library(spark, sf_dir, vocabulary):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(docs_of(spark, ODD, 10**6))
-    t = library(vocabulary)
-    for r in token_counts.count_tokens(docs, vocabulary).select("text", "n_tokens").collect():
-        assert r["n_tokens"] == len(t.encode(r["text"] or "", add_special_tokens=False).ids)
+    """Texts are compared line by line: the library adds in single precision, which is exact for short texts only."""
+    library = unigram_model(tokenizer_path("piece_bpe_32k.model"), [s for _, s in vocabulary.pieces])
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + [t for t in ODD if t is None or len(t) < 1000]
+    texts += ["<s> </s> <unk> <0x41>", "internationalization of tokenizers", "hello  world   ▁ x", " lead", "trail "]
+    lines = [line[i : i + 2000] for t in texts for line in (t or "").split("\n") for i in range(0, len(line) or 1, 2000)]
+    got = token_counts.count_tokens(spark.createDataFrame([(x,) for x in lines], "text string"), vocabulary).collect()
+    assert [(r["text"], r["n_tokens"]) for r in got] == [(x, len(library.encode(x))) for x in lines]
+
+
+def test_token_counts_of_whole_texts(spark, vocabulary):
+    """A whole text, against the same program without chunks and automaton."""
+    scores = dict(vocabulary.pieces)
+    longest, unknown = max(map(len, scores)), min(scores.values()) - 10
+
+    def brute(text):
+        marked = "▁" + text.replace(" ", "▁") if text else ""
+        best = [(0.0, 0)] + [None] * len(marked)
+        for end in range(1, len(marked) + 1):
+            for start in range(max(0, end - longest), end):
+                if marked[start:end] in scores:
+                    x = (best[start][0] + scores[marked[start:end]], best[start][1] + 1)
+                    if best[end] is None or x[0] > best[end][0]:
+                        best[end] = x
+            x = (best[end - 1][0] + unknown, best[end - 1][1] + len(marked[end - 1].encode()))
+            if marked[end - 1] not in scores and (best[end] is None or x[0] > best[end][0]):
+                best[end] = x
+        return best[-1][1]
+
+    texts = [*ODD[:-1], "<0x41><s>", "long " * 300, "x" * 5000, "    " * 200 + "end", "é漢\u0301 " * 50]
+    got = token_counts.count_tokens(docs_of(spark, [*texts, ODD[-1]]), vocabulary).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in got][:-1] == [brute(t or "") for t in texts]
+    assert got[-1]["n_tokens"] == 30000 * brute("long") + brute("long ") - brute("long")
+
+
+def test_zipf_scores(vocabulary):
+    import math
+
+    scores = [s for _, s in vocabulary.pieces]
+    assert scores == sorted(scores, reverse=True) and all(s * 1024 == int(s * 1024) for s in scores)
+    assert abs(sum(map(math.exp, scores)) - 1) < 0.01 and len(vocabulary.pieces) == 32000 - 3 - 256 and vocabulary.byte_fallback
+    assert not any(p in ("<s>", "</s>", "<unk>", "<0x41>") for p, _ in vocabulary.pieces)
 
 
 def test_token_count_ties():
@@ -54,7 +116,7 @@ def test_token_count_ties():
     for _ in range(200):
         pieces = {"<unk>": 0.0} | {"".join(rng.choices("ab▁", k=rng.randint(1, 4))): float(-rng.randint(1, 3)) for _ in range(6)}
         vocabulary = list(pieces.items())
-        t, own = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=False)), token_counts.Counter(vocabulary)
+        t, own = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=False)), token_counts.Counter(token_counts.Vocabulary(vocabulary, False))
         for _ in range(10):
             word = "▁" + "".join(rng.choices("ab", k=rng.randint(0, 6)))
             ids = t.encode(word, add_special_tokens=False).ids
@@ -107,8 +169,19 @@ def test_decontamination_bounds_and_cuts(spark):
     assert decontaminate.keep_clean(docs, bench).columns == docs.columns
     cut = decontaminate.remove_spans(decontaminate.decontaminate(docs, bench)).orderBy("doc_id").collect()
     assert cut[0]["text"].startswith("before, . After x") and cut[1]["text"] == "clean"
-    with pytest.raises(ValueError):
-        decontaminate.decontaminate(docs, bench, max_item_words=1)
+
+
+def test_large_benchmarks_go_block_by_block(spark):
+    """Several automata one after the other give what one gives; no benchmark is refused."""
+    rng = random.Random(7)
+    items = [(i, " ".join(rng.choices("abc", k=rng.choice([1, 4, 13, 20, 40])))) for i in range(30)] + [(30, None), (3, "a b")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(spark, [" ".join(rng.choices(["a", "B", "c", "zz"], [5, 4, 5, 1], k=rng.choice([0, 3, 40, 200]))) for _ in range(30)] + ODD)
+    clash = docs.withColumn("row", F.lit(1)).withColumn("whole", F.lit(2)).withColumn("spans", F.lit(3)).withColumn("items", F.lit("x"))
+    whole = decontaminate.decontaminate(clash, bench).orderBy("doc_id")
+    parts = decontaminate.decontaminate(clash, bench, max_item_words=30).orderBy("doc_id")
+    assert len(decontaminate.load_items(bench, "item_id", "text", 30)) > 3
+    assert whole.columns == parts.columns and whole.collect() == parts.collect() and "row" in whole.columns
 
 
 def test_keep_clean_cuts_long_spans(spark, sf_dir):
@@ -176,16 +249,39 @@ def test_simhash_brute_force(spark, sf_dir):
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(want.values())
 
 
-def test_links_of_dense_prints(spark):
+def test_components_of_dense_prints(spark):
+    """Dense groups, chains through the middle of a group, and groups that share postings without a link."""
     rng = random.Random(2)
-    center = rng.getrandbits(64)
-    prints = sorted({center ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(150)})
+    prints = set()
+    for _ in range(4):
+        center = rng.getrandbits(64)
+        prints |= {center ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(120)}
+        other = center ^ 0xFF_FF_00_00_00_00  # two bytes away: shares postings
+        prints |= {other ^ (1 << rng.randrange(64)) for _ in range(30)}
+        chain = center
+        for _ in range(12):
+            chain ^= sum(1 << b for b in rng.sample(range(64), 4))
+            prints.add(chain)
+    prints = sorted(prints)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    got = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(signed(p),) for p in prints], "fp long")).collect()}
-    want = {tuple(sorted((signed(a), signed(b)))) for a, b in itertools.combinations(prints, 2) if (a ^ b).bit_count() <= 4}
-    assert got == want
+    table = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
+    for bits in (4, 2):
+        linked = [(signed(a), signed(b)) for a, b in itertools.combinations(prints, 2) if (a ^ b).bit_count() <= bits]
+        want = {x: r for x, r in roots([signed(p) for p in prints], linked).items() if any(x in e for e in linked)}
+        got = simhash.linked_components(table, bits).collect()
+        assert {r["fp"]: r["component"] for r in got} == want and len(got) == len(want)
     with pytest.raises(ValueError):
-        simhash.links(spark.createDataFrame([(1,)], "fp long"), 5)
+        simhash.linked_components(table, 5)
+
+
+def test_dense_groups_make_few_links(spark):
+    """Links between representatives, not between all pairs: a group of m near copies has far fewer than m * m."""
+    rng = random.Random(3)
+    center = rng.getrandbits(63)
+    prints = sorted({center ^ sum(1 << b for b in rng.sample(range(60), 2)) for _ in range(800)})
+    table = spark.createDataFrame([(p,) for p in prints], "fp long")
+    first = simhash.representative_links(simhash.postings(table), 4).count()
+    assert first < 20 * 2 * len(prints)
 
 
 def test_keep_one_odd_rows(spark):
@@ -240,6 +336,23 @@ def test_token_files_empty_and_repeated(spark, tokenizer_json, tmp_path):
     assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in got] == [(None, 0, 1), (1, 1, 2), (1, 3, 2)]
 
 
+def test_token_files_of_one_id(spark, tokenizer_json, tmp_path, monkeypatch):
+    """Very many rows of one id, or of none, are dealt to several parts and come back whole and in order."""
+    monkeypatch.setattr(token_files, "PART_TOKENS", 500)
+    rows = [(7 if i % 2 else None, f"text {i % 40} " * 3) for i in range(600)] + [(3, "first"), (9, "last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    token_files.write_token_files(docs, tokenizer_json, str(tmp_path / "hot"))
+    got = token_files.read_token_files(spark, str(tmp_path / "hot"), with_ids=True).orderBy("start").collect()
+    assert sorted((r["doc_id"] or -1) for r in got) == sorted((i or -1) for i, _ in rows) == [r["doc_id"] or -1 for r in got]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(tokenizer_json)
+    assert sorted((r["doc_id"] or -1, r["ids"]) for r in got) == sorted((i or -1, [*t.encode(x, add_special_tokens=False).ids, 0]) for i, x in rows)
+    shards = spark.read.parquet(str(tmp_path / "hot") + "/shards")
+    assert shards.agg(F.max("n_docs")).first()[0] < 200
+
+
 def test_cuts_never_change_ids(tokenizer_json):
     from tokenizers import Tokenizer
 
