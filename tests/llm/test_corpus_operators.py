@@ -594,7 +594,7 @@ def random_site(rng, n):
             elif pick < 0.6 and depth < 4:
                 out.append((rng.choice(["div", "section", "ul"]), rng.choice(["", "m"]), grow(i, depth + 1)))
             elif pick < 0.8 and depth < 4:
-                out.append(("div", "wrap", [rng.choice(fixed), rng.choice(fixed)] + ([("section", "", grow(i, 4))] if rng.random() < 0.03 else [])))
+                out.append(("div", "hull", [rng.choice(fixed), rng.choice(fixed)] + ([("section", "", grow(i, 4))] if rng.random() < 0.03 else [])))
             else:
                 out.append(("p", "", rng.choice(["shared passage", f"own {i} {rng.random():.6f}"])))
         return out
