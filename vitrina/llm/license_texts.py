@@ -100,16 +100,16 @@ MENTIONS: list[tuple[str, str]] = [
     ("CC0-1.0", "CC0 1.0 Universal"),
 ]
 WHOLE: list[tuple[str, str]] = [
-    ("MIT", f"MIT License Copyright (c) {PERMISSION_MIT} {NOTICE_MIT} {WARRANTY_MIT}"),
+    ("MIT", f"MIT License Copyright {PERMISSION_MIT} {NOTICE_MIT} {WARRANTY_MIT}"),
     ("MIT", f"{PERMISSION_MIT} {NOTICE_MIT}"),
     ("MIT", PERMISSION_MIT),
-    ("BSD-2-Clause", f"BSD 2-Clause License Copyright (c) All rights reserved. {BSD_HEAD} {BSD_SOURCE} {BSD_BINARY} {BSD_WARRANTY}"),
+    ("BSD-2-Clause", f"BSD 2-Clause License Copyright All rights reserved. {BSD_HEAD} {BSD_SOURCE} {BSD_BINARY} {BSD_WARRANTY}"),
     ("BSD-2-Clause", f"{BSD_HEAD} {BSD_SOURCE} {BSD_BINARY}"),
-    ("BSD-3-Clause", f"BSD 3-Clause License Copyright (c) All rights reserved. {BSD_HEAD} {BSD_SOURCE} {BSD_BINARY} {BSD_NAMES} {BSD_WARRANTY}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License Copyright All rights reserved. {BSD_HEAD} {BSD_SOURCE} {BSD_BINARY} {BSD_NAMES} {BSD_WARRANTY}"),
     ("BSD-3-Clause", f"{BSD_HEAD} {BSD_SOURCE} {BSD_BINARY} {BSD_NAMES}"),
     ("BSD-3-Clause", BSD_NAMES),
-    ("ISC", f"ISC License Copyright (c) {ISC}"),
-    ("Zlib", f"zlib License Copyright (c) {ZLIB}"),
+    ("ISC", f"ISC License Copyright {ISC}"),
+    ("Zlib", f"zlib License Copyright {ZLIB}"),
     ("Unlicense", UNLICENSE),
     ("BSL-1.0", f"Boost Software License - Version 1.0 - August 17th, 2003 {BSL}"),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
@@ -122,7 +122,7 @@ WHOLE: list[tuple[str, str]] = [
     ("EPL-2.0", "Eclipse Public License - v 2.0"),
     ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
     ("CC0-1.0", "dedicated to the public domain under CC0 1.0 Universal"),
-    ("Proprietary", "Copyright (c) All rights reserved."),
+    ("Proprietary", "Copyright All rights reserved."),
     ("Proprietary", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."),
 ]
 

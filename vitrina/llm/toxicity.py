@@ -143,26 +143,29 @@ class Index:
 class Model:
     """What scoring needs: term weights, index, labels, calibration. Its rows are bounded by the sample."""
 
-    def __init__(self, examples: list[tuple[int, int, int, dict[bytes, int]]], share: tuple[float, float], k: int, focus: float = FOCUS, smooth: float = SMOOTH) -> None:
-        """examples: (id, toxic, text_key, word counts)."""
+    def __init__(self, examples: list[tuple[int, int, int, bytes, bytes]], share: tuple[float, float], k: int, focus: float = FOCUS, smooth: float = SMOOTH) -> None:
+        """examples: (id, toxic, text_key, different words joined by spaces, their counts as 4-byte integers), see word_counts()."""
         import numpy as np
 
         self.k = k
         n = len(examples)
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for _, y, _, c in examples:
-            seen[y].update(c.keys())
-        n_toxic = sum(y for _, y, _, _ in examples)
+        number: dict[bytes, int] = {}
+        terms = [np.array([number.setdefault(w, len(number)) for w in words.split()], np.int64) for *_, words, _ in examples]
+        self.number = number
+        n_toxic = sum(x[1] for x in examples)
         n_clean = n - n_toxic
-        terms = sorted(seen[0].keys() | seen[1].keys())
-        self.number = {t: i for i, t in enumerate(terms)}
-        a, c = (np.array([seen[y][t] for t in terms], float) for y in (1, 0))
+        none = [np.zeros(0, np.int64)]
+        a, c = (np.bincount(np.concatenate(none + [t for t, x in zip(terms, examples, strict=True) if x[1] == y]), minlength=len(number)).astype(float) for y in (1, 0))
         odds = (a / max(1, n_toxic)) / ((c + smooth) / max(1, n_clean))
         relevance = np.log2(2 + odds) ** focus
         self.weight = (np.log((1 + n) / (1 + a + c)) + 1) * relevance
         #: Of a word that no example has: it meets nothing, but counts in a text's length.
         self.unknown = math.log(1 + n) + 1
-        vectors = [self.vector(c) for _, _, _, c in examples]
+        vectors = []
+        for t, x in zip(terms, examples, strict=True):
+            at = np.argsort(t)
+            w = ((1 + np.log(np.frombuffer(x[4], "<i4").astype(float))) * self.weight[t])[at]
+            vectors.append((t[at], w / math.sqrt(float((w * w).sum())) if len(w) else w))
         # similar examples side by side, so that whole blocks can be skipped: by the strongest of the common terms
         common = a + c >= max(2.0, COMMON_SHARE * n)
         lead = [int(t[best]) if len(t) and common[t[(best := int(np.argmax(w * common[t])))]] else -1 for t, w in vectors]
@@ -176,7 +179,7 @@ class Model:
         total = sum(self.stands_for)
         self.prior = sum(w for w, y in zip(self.stands_for, self.toxic, strict=True) if y) / total if total else 0.0
         vectors = [vectors[i] for i in order]
-        self.index = Index(vectors, len(terms))
+        self.index = Index(vectors, len(number))
         self.curve = (1.0, 0.0)
         if 0 < n_toxic < n:
             self.curve = self._calibrate([self._votes(self._near(t, w, examples[i][2])) for (t, w), i in zip(vectors, order, strict=True)])
@@ -254,19 +257,25 @@ class Model:
 TIES = 16
 
 
+def count_words(text: str) -> tuple[bytes, bytes]:
+    """A text's different words, joined by spaces, and their counts as 4-byte integers."""
+    import struct
+
+    found = Counter(split_words(text))
+    return b" ".join(found), struct.pack(f"<{len(found)}i", *found.values())
+
+
 def word_counts(examples: DataFrame) -> DataFrame:
     """doc_id, toxic, key (of the text), words, counts of each example."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found = [], []
-            for text in texts_of(batch, "text"):
-                keys.append(text_key(text) - (1 << 63))
-                found.append(Counter(split_words(text)))
-            arrays = [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array([list(c) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))]
+            texts = list(texts_of(batch, "text"))
+            found = [count_words(t) for t in texts]
+            arrays = [batch.column(0), batch.column(1), pa.array([text_key(t) - (1 << 63) for t in texts], pa.int64()), pa.array([w for w, _ in found], pa.binary()), pa.array([c for _, c in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "key", "words", "counts"])
 
-    return examples.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, key long, words array<binary>, counts array<long>")
+    return examples.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, key long, words binary, counts binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, max_clean: int = 4000, k: int = 15) -> Model:
@@ -282,8 +291,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, max_clean:
     sample = F.broadcast(sample)  # at most max_toxic + max_clean rows
     examples = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = word_counts(examples).collect()
-    found = sorted((r["doc_id"], r["toxic"], r["key"] + (1 << 63), {bytes(w): n for w, n in zip(r["words"], r["counts"], strict=True)}) for r in rows)
-    n = Counter(y for _, y, _, _ in found)
+    found = sorted((r["doc_id"], r["toxic"], r["key"] + (1 << 63), bytes(r["words"]), bytes(r["counts"])) for r in rows)
+    n = Counter(y for _, y, *_ in found)
     share = (of_class.get(0, 0) / max(1, n[0]), of_class.get(1, 0) / max(1, n[1]))
     return Model(found, share, k)
 
