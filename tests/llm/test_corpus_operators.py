@@ -392,6 +392,24 @@ def test_anchors_lose_nothing():
         assert max(rest.values()) < threshold * threshold
 
 
+def test_no_passage_is_left_out(spark):
+    """Passages that the filter drops are below the threshold, by scoring all."""
+    rng = random.Random(19)
+    known = sorted(licenses.template_weights()[1])
+    prose = [f"w{i}" for i in range(50)] + ["mit", "the", "of", "license"] * 4
+    lines = []
+    for i in range(400):
+        _, text = rng.choice(license_texts.templates())
+        ws = text.split()
+        kept = [w for w in ws if rng.random() < rng.choice([0.3, 0.9, 1.0])]
+        lines.append(" ".join(kept + rng.choices(prose, k=rng.choice([0, 0, 1, 3, 10, 80])) + rng.choices(known, k=rng.choice([0, 0, 5]))))
+    table = spark.createDataFrame(list(enumerate(lines)), "row long, passage string")
+    scores = {r["row"]: r["score"] for r in licenses.score_passages(table, ["row"]).collect()}
+    for threshold in (0.6, 0.8):
+        kept = {r["row"] for r in table.filter(licenses.may_reach(licenses.tokens(F.col("passage")), threshold)).select("row").collect()}
+        assert {i for i, x in scores.items() if x >= threshold} <= kept and len(kept) < len(lines)
+
+
 BSD2 = f"BSD 2-Clause License\n\nCopyright (c) 2020, A. Author\n\n{license_texts.BSD_HEAD}\n\n{license_texts.BSD_SOURCE}\n\n{license_texts.BSD_BINARY}\n\n{license_texts.BSD_WARRANTY}\n"
 
 

@@ -5,9 +5,11 @@ lines and the sentences of its lines. A passage's words are runs of letters and
 "agpl-3.0-only" are words of their own, and two versions of a licence differ by a word. A passage is compared with every
 template by sparse TF-IDF cosine, weights (1 + log tf) * idf. A file's own licence is its best passage's from the threshold on.
 
-No passage is left out that could reach the threshold: if the words outside of a set A hold less than the threshold of
-every template's length, no passage without a word of A has such a cosine (Cauchy-Schwarz). anchors() takes common words of prose
-out of A as long as that holds; passages without a word of A, most of any text, are dropped before anything is exploded.
+No passage is left out that could reach the threshold. If the words outside of a set A hold less than the threshold of
+every template's length, no passage without a word of A has such a cosine (Cauchy-Schwarz); anchors() takes common words of prose
+out of A as long as that holds. And no cosine is above the share of a passage's length that words of templates can have at
+most, given how many different words it has of each kind. Passages that fail either test, most of any text, are dropped
+before anything is exploded.
 
 A file whose best passage is at least half of its words, or whose name says so, is a licence file and speaks for its folder;
 a file without a licence of its own takes that of the nearest ancestor folder that has one, found by joins of the distinct folders'
@@ -82,6 +84,32 @@ def anchors(threshold: float = THRESHOLD) -> list[str]:
     return sorted(set(idf) - plain)
 
 
+#: Bounds of inverse document frequencies between kinds of known words.
+KINDS = (2.5, 4.5)
+
+
+@cache
+def kinds_of_words() -> list[tuple[list[str], float]]:
+    """The templates' words in kinds, each with its greatest inverse document frequency."""
+    _, idf, _ = template_weights()
+    cuts = (0.0, *KINDS, math.inf)
+    kinds = [[w for w, x in idf.items() if lo <= x < hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    return [(ws, max(idf[w] for w in ws)) for ws in kinds if ws]
+
+
+def may_reach(own: Column, threshold: float) -> Column:
+    """Whether a passage with these words can have a cosine from the threshold on: it has an anchor, and its known words are long
+    enough beside its unknown ones. No word occurs more often than all words less all other different ones."""
+    _, _, unknown = template_weights()
+    different = F.size(F.array_distinct(own))
+    times = 1 + F.log((F.size(own) - different + 1).cast("double"))
+    sizes = [(F.size(F.array_intersect(own, F.array(*map(F.lit, ws)))), top) for ws, top in kinds_of_words()]
+    known = times * times * sum((n * top * top for n, top in sizes), F.lit(0.0))
+    others = (different - sum((n for n, _ in sizes), F.lit(0))) * unknown * unknown
+    least = (threshold - 1e-6) ** 2
+    return F.arrays_overlap(own, F.array(*map(F.lit, anchors(threshold)))) & (known >= least * (known + others))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(f"({TOKEN})"), F.lit(1))
 
@@ -126,7 +154,8 @@ def own_licenses(docs: DataFrame, *, text_col: str = "text", path_col: str = "pa
     path = F.coalesce(F.regexp_replace(quoted(path_col), "/+", "/"), F.lit(""))
     text = F.coalesce(quoted(text_col), F.lit(""))
     read = docs.select(quoted("doc_id").alias("doc_id"), path.alias("path"), text.alias("text"), tokens(text).alias("tokens"))
-    spoken = F.when(F.arrays_overlap("tokens", found), F.filter(passages(F.col("text")), lambda p: F.arrays_overlap(tokens(p), found)))
+    read_passages = F.transform(passages(F.col("text")), lambda p: F.struct(p.alias("passage"), tokens(p).alias("own")))
+    spoken = F.when(F.arrays_overlap("tokens", found), F.transform(F.filter(read_passages, lambda p: may_reach(p["own"], threshold)), lambda p: p["passage"]))
     files = scratch(read.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", F.size("tokens").alias("n_tokens"), spoken.alias("passages")), "passages")
     units = files.select("row", F.posexplode("passages").alias("unit", "passage"))
     scored = score_passages(units, ["row", "unit"]).filter(F.col("score") >= threshold)
