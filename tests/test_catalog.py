@@ -1,10 +1,13 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from vitrina import cli, render
+from vitrina import cli, render, update
 from vitrina.operators import catalog
 from vitrina.schema import OFFER, PAGE
 from vitrina.sources import captures, sites, snapshots
+from vitrina.sources.sites import site_rows
 from vitrina.streaming.ingest import ingest_pages
 
 ROWS = [
@@ -73,7 +76,6 @@ def test_snapshots(spark, offers, tmp_path):
     assert [(r["store"], r["title"]) for r in snapshots.load_offers(spark, str(data)).collect()] == [("a", "Uno")]
     assert snapshots.load_offers(spark, str(tmp_path)).count() == 0
     document = snapshots.merged_document(offers, spark.createDataFrame([("a",), ("empty",)], "store string"))
-    snapshots.write_json(document, str(tmp_path / "out.json"))
     assert {(r["store"], len(r["offers"])) for r in document.collect()} == {("a", 2), ("empty", 0)}
     snapshots.write_csv(offers, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == len(ROWS)
@@ -81,6 +83,39 @@ def test_snapshots(spark, offers, tmp_path):
     assert snapshots.union_stores(parts).columns == ["store", "title", "original_price", "current_price", "stock_status", "url"]
 
 
+def test_json_round_trip(spark, offers, tmp_path):
+    """What the sinks write, as lines or as one document, the scan reads."""
+    targets = spark.createDataFrame([("empty", 2), ("b", 1), ("a", 0)], "store string, registry_pos int")
+    own = [*OFFER.names, "store", "registry_pos", "row_pos"]
+    want = sorted(map(str, offers.select(own).collect()))
+    snapshots.write_json(offers, targets, str(tmp_path / "lines"))
+    assert sorted(map(str, snapshots.read_json(spark, str(tmp_path / "lines")).select(own).collect())) == want
+    assert '"store":"empty"' in "".join(p.read_text() for p in (tmp_path / "lines").glob("*.json"))
+    snapshots.write_document(offers, targets, str(tmp_path / "products.json"))
+    assert list(json.loads((tmp_path / "products.json").read_text(encoding="utf-8"))) == ["a", "b", "empty"]
+    assert sorted(map(str, snapshots.read_json(spark, str(tmp_path / "products.json")).select(own).collect())) == want
+    assert snapshots.load_offers(spark, str(tmp_path)).count() == len(ROWS)
+    snapshots.write_document(offers, targets.limit(0), str(tmp_path / "none.json"))
+    assert (tmp_path / "none.json").read_text() == "{}" and snapshots.load_json(spark, str(tmp_path / "none.json")).count() == 0
+    snapshots.write_json(offers, targets.limit(0), str(tmp_path / "no-lines"))
+    assert snapshots.load_json(spark, str(tmp_path / "no-lines")).count() == 0
+
+
+def test_one_rule_for_queries_and_titles(spark):
+    """Letters that only full decomposition resolves are found by their own title."""
+    odd = catalog.with_match_columns(spark.createDataFrame([("ﬁreball ™", "$1", None, None, "u", "a", 0, 0), (None, "$1", None, None, "u", "a", 0, 1), ("ﬁreball ™", "$2", None, None, "u", "a", 0, 2)], SCHEMA))
+    assert odd.count() == 3 and [r["title"] for r in catalog.search(odd, "ﬁreball ™").collect()] == ["ﬁreball ™"]
+    asked = spark.createDataFrame([("fireball tm",), ("ﬁreball ™",), ("",), ("nothing like it",)], "query string")
+    for block in (10_000, 1):
+        assert sorted(r["query"] for r in catalog.search_many(odd, asked, block=block).collect()) == ["fireball tm", "ﬁreball ™"]
+
+
+def test_equal_prices_keep_the_load_order(spark):
+    rows = [(f"t{9 - i}", "$10.000", None, None, "u", "ab"[i % 2], i % 2, i) for i in range(10)]
+    got = catalog.sort_offers(catalog.with_match_columns(spark.createDataFrame(rows, SCHEMA)), "price").collect()
+    assert [(r["registry_pos"], r["row_pos"]) for r in got] == sorted((i % 2, i) for i in range(10))
+
+
 def card(title):
     return f'<li class="product"><h2 class="woocommerce-loop-product__title">{title}</h2><span class="price"><bdi>$1</bdi></span></li>'
 
@@ -118,6 +153,64 @@ def test_stop_rule_and_stream(spark, tmp_path):
     assert sorted((r["store"], r["title"]) for r in spark.read.parquet(str(tmp_path / "cat")).collect()) == [("mirzu", "a"), ("mirzu", "b")]
 
 
+def test_pages_of_a_store_arrive_in_batches(spark, tmp_path):
+    """Page 1 in one run, page 2 in the next, page 1 again in a third: the catalogue holds both pages, the newest of each."""
+    source, cat = tmp_path / "pages", str(tmp_path / "cat")
+
+    def arrive(*pages):
+        spark.createDataFrame(pages, PAGE).coalesce(1).write.mode("append").parquet(str(source))
+        ingest_pages(spark, str(source), cat, str(tmp_path / "ck")).awaitTermination(60)
+        spark.catalog.clearCache()
+        return sorted((r["store"], r["title"]) for r in spark.read.parquet(cat).collect())
+
+    assert arrive(("mirzu", 1, "u", card("a")), ("ludi", 1, "u", card("x"))) == [("ludi", "x"), ("mirzu", "a")]
+    assert arrive(("mirzu", 2, "u", card("b"))) == [("ludi", "x"), ("mirzu", "a"), ("mirzu", "b")]
+    assert arrive(("mirzu", 1, "u", card("c")), ("mirzu", 3, "u", card("d"))) == [("ludi", "x"), ("mirzu", "b"), ("mirzu", "c"), ("mirzu", "d")]
+
+
+def test_update_captures_once_and_the_command_line_reads_it(spark, tmp_path, monkeypatch):
+    """A shop that answers differently each time is asked once; what an update writes is what searches and lists show."""
+    log = tmp_path / "asked"
+    log.touch()
+    shown = card("TITLE")
+
+    def shops(spark, names=None, dry_run=False, workers=None):
+        def ask(rows):
+            for store, page in rows:
+                with open(log, "a") as f:
+                    f.write(store)
+                yield (store, page, "u", shown.replace("TITLE", f"{store} {page} asked {log.stat().st_size}"))
+
+        pages = [(n, p) for n in names for p in (1, 2)]
+        return spark.createDataFrame(spark.sparkContext.parallelize(pages, 1).mapPartitions(ask), PAGE)
+
+    monkeypatch.setattr(update, "capture", shops)
+    cat = str(tmp_path / "data" / "catalogue")
+    said = []
+    got = update.update(spark, cat, ["mirzu"], show=said.append).collect()
+    assert [tuple(r) for r in got] == [("mirzu", 2, 0, 0)] and log.read_text() == "mirzu" * 2 and "mirzu: 2 páginas" in said[0]
+    update.update(spark, cat, ["ludi"]).collect()
+    spark.catalog.clearCache()
+    rows = snapshots.load_offers(spark, str(tmp_path / "data"), catalogue=cat)
+    assert sorted({r["store"] for r in rows.collect()}) == ["ludi", "mirzu"] and rows.count() == 4
+    out = []
+    assert cli.main(["--list", "--data", str(tmp_path / "data"), "--catalogue", cat], spark, lambda _: "", out.append) == 0
+    assert sum("asked" in x for x in out) == 4 or any("mirzu 1" in x for x in out)
+    out.clear()
+    cli.main(["-n", "ludi 2 asked", "--data", str(tmp_path / "data"), "--catalogue", cat], spark, lambda _: "1", out.append)
+    assert any("ludi 2" in x for x in out)
+    monkeypatch.setattr(update, "capture", lambda spark, *_: spark.createDataFrame([("mirzu", 1, "u", None)], PAGE))
+    assert [tuple(r) for r in update.update(spark, cat, ["mirzu"]).collect()] == [("mirzu", 0, 0, 0)]
+    assert snapshots.load_catalogue(spark, str(tmp_path / "nowhere")) is None
+
+
+def test_workers_share_the_sites():
+    rows = site_rows()
+    assert len(captures.SiteReader(rows, 1, 0).partitions()) == len(rows)
+    dealt = captures.SiteSource({"workers": "4"}).reader(None).partitions()
+    assert len(dealt) == 4 and sorted(x[0] for p in dealt for x in p.chosen) == sorted(r[1] for r in rows)
+
+
 def test_render_and_cli(spark, tmp_path):
     table = spark.createDataFrame([("Un producto de nombre bastante largo", None)], "Producto string, Oferta string")
     lines = list(render.table_lines(table, "T"))
@@ -134,7 +227,7 @@ def test_render_and_cli(spark, tmp_path):
     cli.main(["-n", "catan", "--data", str(data)], spark, lambda _: "1", out.append)
     assert any("100%" in x for x in out) and any("https://x" in x for x in out)
     out.clear()
-    cli.main(["--list", "--store", "none", "--data", str(data)], spark, lambda _: "", out.append)
+    cli.main(["--list", "--store", "none", "--data", str(data), "--catalogue", str(data / "none")], spark, lambda _: "", out.append)
     assert out == ["Sin resultados"]
     with pytest.raises(SystemExit):
         cli.main(["--deals", "--sort", "store"], spark)

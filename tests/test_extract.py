@@ -1,5 +1,8 @@
+import random
+
 import pytest
 
+from vitrina.operators import extract
 from vitrina.operators.dom import find, find_all, parse
 from vitrina.operators.extract import SPECS, extract_offers, extract_page
 from vitrina.sources.sites import site_rows
@@ -99,3 +102,33 @@ def test_spark_extraction(spark):
     pages = spark.createDataFrame([("a", 1, "u", woo() + woo("Azul")), ("a", 2, "u", None), ("nobody", 1, "u", woo())], "store string, page int, url string, html string")
     specs = spark.createDataFrame([("a", "cartonazo")], "store string, spec string")
     assert [(r["page"], r["pos"], r["title"]) for r in extract_offers(pages, specs).orderBy("page", "pos").collect()] == [(1, 0, "Catan"), (1, 1, "Azul")]
+
+
+def test_elements_below_by_ranges():
+    """What the index finds is what a walk over the tree finds, with unclosed and crossing tags too."""
+    rng = random.Random(5)
+    for _ in range(200):
+        html = "".join(rng.choice(["<div>", "<div class='a b'>", "</div>", "<p class=a>", "</p>", "<b>", "</b>", "<br>", "x", "<i class=b />"]) for _ in range(30))
+        root = parse(html)
+
+        def below(node):
+            return [x for c in node.children if not isinstance(c, str) for x in (c, *below(c))]
+
+        for node in (root, *below(root)):
+            assert list(node.below()) == below(node)
+            for tag, name, selector in (("div", "", "div"), ("", "a", ".a"), ("div", "b", "div.b"), ("", "", "*")):
+                fits = [x for x in below(node) if (not tag or x.tag == tag) and (not name or name in x.classes)]
+                assert find_all(node, selector) == fits and find(node, selector) is (fits[0] if fits else None)
+
+
+def test_one_bad_card_is_left_out(monkeypatch):
+    plain = extract.extract_card
+
+    def broken(spec, item):
+        if "bad" in item.text():
+            raise ValueError("unreadable")
+        return plain(spec, item)
+
+    monkeypatch.setattr(extract, "extract_card", broken)
+    assert [o["title"] for o in extract_page("cartonazo", woo("a") + woo("bad") + woo("c"))] == ["a", "c"]
+    assert extract_page("no such shop", woo()) == []

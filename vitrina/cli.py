@@ -29,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--store", metavar="NAME")
     p.add_argument("--help_info", action="store_true", help="show this help")
     p.add_argument("--data", default="data", help="folder of snapshots")
-    p.add_argument("--catalogue", default="data/catalogue", help="Parquet catalogue that updates write")
+    p.add_argument("--catalogue", default="data/catalogue", help="Parquet catalogue that updates write and everything else reads")
     return p
 
 
@@ -72,12 +72,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, ask:
 
     spark = spark or local_session(a.workers if a.update and not (a.name or a.deals or a.list) else "*")
     if a.name:
-        search_mode(load_offers(spark, a.data), a.name, a.sort, ask, show)
+        search_mode(load_offers(spark, a.data, catalogue=a.catalogue), a.name, a.sort, ask, show)
     elif a.deals:
-        rows = catalog.deals(load_offers(spark, a.data), store=a.store, in_stock_only=a.in_stock, lower=a.lower_price, higher=a.higher_price, price=a.price, sort=a.sort)
+        rows = catalog.deals(load_offers(spark, a.data, catalogue=a.catalogue), store=a.store, in_stock_only=a.in_stock, lower=a.lower_price, higher=a.higher_price, price=a.price, sort=a.sort)
         show_rows(rows, "Ofertas", ask, show)
     elif a.list:
-        show_rows(catalog.list_offers(load_offers(spark, a.data), store=a.store, sort=a.sort, in_stock_only=a.in_stock), "Catálogo", ask, show)
+        show_rows(catalog.list_offers(load_offers(spark, a.data, catalogue=a.catalogue), store=a.store, sort=a.sort, in_stock_only=a.in_stock), "Catálogo", ask, show)
     else:
         from vitrina.sources.sites import site_rows
         from vitrina.update import update
@@ -88,7 +88,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, ask:
         wanted = [s for s in a.sites or [] if s in known]
         if a.sites and not wanted:
             return 1
-        paginate(table_lines(update(spark, a.catalogue, wanted or None, a.dry_run), "Resumen"), ask, show)
+        paginate(table_lines(update(spark, a.catalogue, wanted or None, a.dry_run, a.workers, show), "Resumen"), ask, show)
     return 0
 
 

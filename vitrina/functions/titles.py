@@ -25,6 +25,7 @@ LATIN = "A-Za-záéíóúüñÁÉÍÓÚÜÑ"
 #: Letters that lose their accent, and what they become.
 ACCENTED, PLAIN = "áéíóúüñàèìòùâêîôûäëïöçãõåýÿªº", "aeiouunaeiouaeiouaeiocaoayyao"
 
+#: Where noise stands, between separators, glued to a word, or at the end.
 BOUNDED = rf"(?:^|(?<={SEPARATORS})){SEPARATORS}*(?:{NOISE_PHRASES})\s*[\-\|,;:]?"
 GLUED = rf"(?<=[{LATIN}])(?:{NOISE_PHRASES})(?:\s*[\-\|,;:].*)?$"
 TRAILING = rf"{SEPARATORS}+(?:{NOISE_WORDS})(?={SEPARATORS}|$)"

@@ -6,23 +6,31 @@ its store) order rows, and every sort ends in a total tie-break.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrina.functions.prices import add_prices, filter_price, nonzero, show_pct
 from vitrina.functions.similarity import add_token_set_ratio
-from vitrina.functions.titles import clean_title, normalize_text, normalize_title
+from vitrina.functions.titles import clean_title, normalize_text, normalize_title_exact
 from vitrina.schema import AVAILABLE, SOLD_OUT
 
 SORTS = ("discount", "price", "offer", "original", "store")
 LIST_SORTS = ("discount", "price", "offer")
 CUTOFF = 80.0
+#: Rows of a query set that are broadcast at a time.
+QUERY_BLOCK = 10_000
 
 
 def with_match_columns(offers: DataFrame) -> DataFrame:
-    """Cleaned titles and the match key; done once, at load."""
-    cleaned = offers.withColumn("title", clean_title(F.col("title")))
-    return cleaned.withColumn("norm", normalize_title(F.col("title")))
+    """Cleaned titles and the match key; done once, at load, and once for each different title: the patterns
+    run over distinct titles, which are joined back."""
+    raw = offers.withColumnRenamed("title", "_raw").drop("norm")
+    each = raw.select(F.col("_raw").alias("_of")).distinct().withColumn("title", clean_title(F.col("_of")))
+    each = each.withColumn("norm", normalize_title_exact(F.col("title")))
+    columns = ["title" if c == "title" else c for c in offers.columns if c != "norm"]
+    return raw.join(each, F.col("_raw").eqNullSafe(F.col("_of"))).select(*columns, "norm")
 
 
 # -- keep-first ---------------------------------------------------------------------------------
@@ -40,7 +48,7 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def sort_keys(by: str) -> list[Column]:
-    """Orders over offers with prices (add_prices); missing and zero prices go last."""
+    """Orders over offers with prices (add_prices); missing and zero prices go last, equal ones keep the load order."""
     keys = {
         "discount": F.coalesce("_pct", F.lit(-1.0)).desc(),
         "price": F.coalesce(nonzero(F.col("_c")), nonzero(F.col("_o"))).desc_nulls_last(),
@@ -50,7 +58,7 @@ def sort_keys(by: str) -> list[Column]:
     }
     if by not in keys:
         raise ValueError(f"unknown sort {by!r}; one of {', '.join(SORTS)}")
-    return [keys[by], *[F.col(c).asc_nulls_last() for c in ("store", "norm", "url", "original_price", "current_price", "stock_status", "title")]]
+    return [keys[by], F.col("registry_pos").asc_nulls_last(), F.col("row_pos").asc_nulls_last()]
 
 
 def sort_offers(offers: DataFrame, by: str = "discount") -> DataFrame:
@@ -74,17 +82,23 @@ def search(offers: DataFrame, query: str, cutoff: float = CUTOFF) -> DataFrame:
     return _at_least(scored, cutoff).orderBy(F.desc("score"), "registry_pos", "row_pos", "norm").select("title", "score")
 
 
-def search_many(offers: DataFrame, queries: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+def search_many(offers: DataFrame, queries: DataFrame, cutoff: float = CUTOFF, block: int = QUERY_BLOCK) -> DataFrame:
     """query, title, norm, score for a table of queries (query).
 
     A score of 80 needs a common word, or two words that begin alike or are in reach of each other
-    by length; since no index covers the latter, distinct products are scored against all queries
-    in blocks, the stated query set being the broadcast side.
+    by length; since no index covers the latter, distinct products are scored against all queries,
+    the stated query set being broadcast in blocks of about `block` rows, whatever its size.
     """
-    wanted = queries.select("query", normalize_title(F.col("query")).alias("wanted")).distinct()
-    both = titles_by_norm(offers).join(F.broadcast(wanted), F.length("wanted") > 0)
-    scored = add_token_set_ratio(both, "wanted", "norm", "score", cutoff)
-    return _at_least(scored, cutoff).select("query", "title", "norm", "score")
+    wanted = queries.select("query").distinct().withColumn("wanted", normalize_title_exact(F.col("query"))).filter("wanted <> ''")
+    products = titles_by_norm(offers)
+    parts = [add_token_set_ratio(products.crossJoin(F.broadcast(some)), "wanted", "norm", "score", cutoff) for some in in_blocks(wanted, "query", block)]
+    return _at_least(reduce(DataFrame.unionByName, parts), cutoff).select("query", "title", "norm", "score")
+
+
+def in_blocks(rows: DataFrame, key: str, block: int) -> list[DataFrame]:
+    """rows dealt by a hash of the key into parts of about `block` rows, each fit to be broadcast."""
+    n = max(1, -(-rows.count() // block))
+    return [rows] if n == 1 else [rows.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
 def _at_least(scored: DataFrame, cutoff: float) -> DataFrame:
@@ -232,4 +246,4 @@ def merge_into(path: str, fresh: DataFrame, targets: DataFrame) -> None:
 
 def ranked(offers: DataFrame, by: str, partition: str = "store") -> DataFrame:
     """offers with rank, their place in their store under a sort key."""
-    return add_prices(offers).withColumn("rank", F.row_number().over(Window.partitionBy(partition).orderBy(*sort_keys(by), F.col("registry_pos"), F.col("row_pos"))))
+    return add_prices(offers).withColumn("rank", F.row_number().over(Window.partitionBy(partition).orderBy(*sort_keys(by))))

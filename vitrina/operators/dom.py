@@ -9,6 +9,7 @@ last match instead of its first.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -17,24 +18,35 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset(("script", "style", "template"))
 
 
+class Page:
+    """A page's elements in document order, and their places by tag and by class: what is below an element is a range."""
+
+    __slots__ = ("by_class", "by_tag", "order")
+
+    def __init__(self) -> None:
+        self.order: list[Node] = []
+        self.by_tag: dict[str, list[int]] = {}
+        self.by_class: dict[str, list[int]] = {}
+
+
 class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("at", "attrs", "children", "classes", "end", "page", "parent", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
-        self.tag, self.attrs, self.parent = tag, attrs, parent
+    def __init__(self, page: Page, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
+        self.page, self.tag, self.attrs, self.parent = page, tag, attrs, parent
         self.children: list[Node | str] = []
-
-    @property
-    def classes(self) -> list[str]:
-        return self.attrs.get("class", "").split()
+        self.classes = attrs["class"].split() if "class" in attrs else []
+        self.at = len(page.order)
+        #: One behind the last element inside; set as the element closes.
+        self.end = self.at + 1
+        page.order.append(self)
+        page.by_tag.setdefault(tag, []).append(self.at)
+        for c in dict.fromkeys(self.classes):
+            page.by_class.setdefault(c, []).append(self.at)
 
     def below(self) -> Iterator[Node]:
         """Elements inside, in document order."""
-        stack = [c for c in reversed(self.children) if isinstance(c, Node)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+        return iter(self.page.order[self.at + 1 : self.end])
 
     def text(self, without: list[Node] = ()) -> str:
         """Every piece of text, stripped, put together without a separator."""
@@ -51,10 +63,11 @@ class Node:
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.now = Node("", {}, None)
+        self.page = Page()
+        self.root = self.now = Node(self.page, "", {}, None)
 
     def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.now)
+        node = Node(self.page, tag, {k: v or "" for k, v in reversed(attrs)}, self.now)
         self.now.children.append(node)
         if tag not in VOID:
             self.now = node
@@ -62,16 +75,23 @@ class _Builder(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.now = self.now.parent
+            self._leave(self.now)
 
     def handle_endtag(self, tag):
         node = self.now
         while node.parent is not None:
             if node.tag == tag:
-                self.now = node.parent
-                return
+                return self._leave(node)
             node = node.parent
 
+    def _leave(self, node: Node) -> None:
+        """An element ends, and all that are open inside it."""
+        end, inner = len(self.page.order), self.now
+        while inner is not node.parent:
+            inner.end = end
+            inner = inner.parent
+        self.now = node.parent
+
     def handle_data(self, data):
         self.now.children.append(data)
 
@@ -80,6 +100,7 @@ def parse(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)
     builder.close()
+    builder._leave(builder.root)
     return builder.root
 
 
@@ -105,8 +126,7 @@ def _fits(node: Node, step) -> bool:
     tag, classes, tests, _ = step
     if tag and node.tag != tag:
         return False
-    own = node.classes if classes else ()
-    if any(c not in own for c in classes):
+    if any(c not in node.classes for c in classes):
         return False
     for name, how, value in tests:
         has = node.attrs.get(name)
@@ -115,18 +135,36 @@ def _fits(node: Node, step) -> bool:
     return True
 
 
+def _matches(node: Node, step) -> Iterator[Node]:
+    """Elements below a node that fit a step, in document order; only those of its first class or its tag are looked at."""
+    tag, classes, _, last = step
+    page = node.page
+    places = page.by_class.get(classes[0], []) if classes else page.by_tag.get(tag, []) if tag else range(len(page.order))
+    places = places[bisect_right(places, node.at) : bisect_left(places, node.end)]
+    for at in reversed(places) if last else places:
+        if _fits(found := page.order[at], step):
+            yield found
+
+
+def _first(node: Node | None, steps) -> Node | None:
+    for step in steps:
+        node = next(_matches(node, step), None)
+        if node is None:
+            return None
+    return node
+
+
 def find_all(node: Node, selector: str) -> list[Node]:
     """All matches of the first alternative that has any."""
     for steps in _compiled(selector):
-        at: list[Node] = [node]
-        for i, step in enumerate(steps):
-            found = [x for a in at for x in a.below() if _fits(x, step)]
-            at = found if i == len(steps) - 1 and not step[3] else (found[-1:] if step[3] else found[:1])
-        if at and at[0] is not node:
-            return at
+        above = _first(node, steps[:-1])
+        found = list(_matches(above, steps[-1])) if above is not None else []
+        if found:
+            return found[:1] if steps[-1][3] else found
     return []
 
 
 def find(node: Node | None, selector: str | None) -> Node | None:
-    found = find_all(node, selector) if node is not None and selector else []
-    return found[0] if found else None
+    if node is None or not selector:
+        return None
+    return next((found for steps in _compiled(selector) if (found := _first(node, steps)) is not None), None)

@@ -17,6 +17,7 @@ collection cards are found by their class, and cards without a label element hav
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -247,6 +248,8 @@ SPECS: dict[str, Spec] = {
 }
 #: Headings and links of articles, for pages that are no shop.
 SPECS["article"] = Spec("article", "h1", Pair("", "del", "ins", "bdi"), link="a[href]")
+#: The first link of a page.
+SPECS["first_link"] = Spec("body", "a[href]", Pair("", "del", "ins", "bdi"), link="title", base="https://base.example")
 
 
 def says_sold_out(text: str | None) -> bool:
@@ -339,24 +342,39 @@ def _link(item: Node, title: Node, rule: str, base: str) -> str | None:
     return (href if href.startswith("http") else base + href) if href else None
 
 
+def extract_card(spec: Spec, item: Node) -> dict | None:
+    """The offer of one card; None if it shows none."""
+    title = find(item, spec.title)
+    if title is None or spec.needs and find(item, spec.needs) is None:
+        return None
+    name = title.text()
+    if spec.title_attr:
+        attr, _, other = spec.title_attr.partition(" | ")
+        name = title.attrs.get(attr) or _text(find(title, other))
+    if spec.title == "p" and not name:
+        return None
+    original, current = _pair(*_price(item, spec.price))
+    gone = any(_holds(t, item, current is not None) for t in spec.gone)
+    sale = any(_holds(t, item, current is not None) for t in spec.sale)
+    return {"title": name, "original_price": original, "current_price": current, "stock_status": SOLD_OUT if gone else ON_OFFER if sale else None, "url": _link(item, title, spec.link, spec.base)}
+
+
 def extract_page(spec_name: str, html: str | None) -> list[dict]:
-    """The offers of one page, in order. A card that can't be read is left out, never the page."""
-    spec = SPECS[spec_name]
+    """The offers of one page, in order. A card that can't be read is left out and logged, never the page; a page of an
+    unknown spec has no offers."""
+    spec = SPECS.get(spec_name)
+    if spec is None:
+        logging.warning("no rules for %r: its pages give no offers", spec_name)
+        return []
     out = []
     for item in find_all(parse(html), spec.item) if html else []:
-        title = find(item, spec.title)
-        if title is None or spec.needs and find(item, spec.needs) is None:
-            continue
-        name = title.text()
-        if spec.title_attr:
-            attr, _, other = spec.title_attr.partition(" | ")
-            name = title.attrs.get(attr) or _text(find(title, other))
-        if spec.title == "p" and not name:
+        try:
+            offer = extract_card(spec, item)
+        except Exception as e:  # whatever is wrong with one card must not cost the page
+            logging.warning("%s: card left out: %s", spec_name, e)
             continue
-        original, current = _pair(*_price(item, spec.price))
-        gone = any(_holds(t, item, current is not None) for t in spec.gone)
-        sale = any(_holds(t, item, current is not None) for t in spec.sale)
-        out.append({"title": name, "original_price": original, "current_price": current, "stock_status": SOLD_OUT if gone else ON_OFFER if sale else None, "url": _link(item, title, spec.link, spec.base)})
+        if offer is not None:
+            out.append(offer)
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrina.functions.titles import NOISE_PHRASES, NOISE_WORDS
 from vitrina.operators.catalog import with_match_columns
 
 #: What shops append to titles, by part number.
@@ -41,15 +42,11 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("store"), F.col("s_suppkey").cast("int").alias("registry_pos"))
 
 
-PHRASES = r"juegos?\s+de\s+mesa|board\s+game|card\s+game|juego\s+de\s+cartas|juego\s+de\s+rol|rol\s+game|role[\-\s]?playing\s+game|rpg|juego\s+familiar|juego\s+educativo|juego\s+cooperativo|juego\s+de\s+estrategia|party\s+game|juego\s+de\s+dados"
-WORDS = r"cooperativo|familiar|educativo|estrategia|competitivo|abstracto|party|dados|cartas|rol\b"
-
-
 def sql_clean(title: str) -> str:
     """The cleaning rule for an engine without look-behind: the character before is captured and put back."""
-    step = rf"regexp_replace({title}, '(^|[\-\|,;:\s])[\-\|,;:\s]*(?:{PHRASES})\s*[\-\|,;:]?', '\1 ', 'gi')"
-    step = rf"regexp_replace({step}, '([A-Za-záéíóúüñÁÉÍÓÚÜÑ])(?:{PHRASES})(?:\s*[\-\|,;:].*)?$', '\1', 'gi')"
-    step = rf"regexp_replace({step}, '[\-\|,;:\s]+(?:{WORDS})($|[\-\|,;:\s])', '\1', 'gi')"
+    step = rf"regexp_replace({title}, '(^|[\-\|,;:\s])[\-\|,;:\s]*(?:{NOISE_PHRASES})\s*[\-\|,;:]?', '\1 ', 'gi')"
+    step = rf"regexp_replace({step}, '([A-Za-záéíóúüñÁÉÍÓÚÜÑ])(?:{NOISE_PHRASES})(?:\s*[\-\|,;:].*)?$', '\1', 'gi')"
+    step = rf"regexp_replace({step}, '[\-\|,;:\s]+(?:{NOISE_WORDS})($|[\-\|,;:\s])', '\1', 'gi')"
     return rf"trim(regexp_replace({step}, '\s{{2,}}', ' ', 'g'), ' -|,:;')"
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrina.functions import prices
 from vitrina.functions.similarity import add_lcs, add_token_set_ratio
 from vitrina.functions.titles import clean_title, normalize_title
 from vitrina.operators import catalog, extract
+from vitrina.plans import shops
 from vitrina.plans.offers import OFFERS_SQL, RAW_SQL, offers, raw_offers, sql_clean, sql_norm, sql_price, stores
 from vitrina.sources import captures, sites, snapshots
 
@@ -89,10 +93,10 @@ def fn_discount(spark, sf_dir):
     return priced.select("row_pos", F.col("_pct").alias("pct"), prices.show_pct(F.col("_pct")).alias("descuento"))
 
 
-@query(f"SELECT conv_id, turn, {sql_norm('text')} AS norm FROM (SELECT conv_id, turn, left(text, 60) AS text FROM conversations)")
+@query(f"SELECT conv_id, turn, {sql_norm('text')} AS norm FROM conversations")
 def fn_normalize_title(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return turns.select("conv_id", "turn", normalize_title(F.substr("text", F.lit(1), F.lit(60))).alias("norm"))
+    return turns.select("conv_id", "turn", normalize_title(F.col("text")).alias("norm"))
 
 
 NOISY = "p_name || [' - Juego de Mesa', 'Juego de Mesa, Cooperativo', ' | Board Game: Familiar', ' juegos de mesa edición', ', Party, Dados', ' Card Game Deluxe'][p_partkey % 6 + 1]"
@@ -120,11 +124,12 @@ def fn_sold_out(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", prices.sold_out(F.expr(SOLD_TEXT)).alias("gone"))
 
 
-@query("SELECT page_id, CASE WHEN href = '' THEN NULL WHEN starts_with(href, 'http') THEN href ELSE 'https://base.example' || href END AS link FROM (SELECT page_id, regexp_extract(html, '<a href=\"([^\"]*)\"', 1) AS href FROM pages)")
+@query("SELECT page_id::INT AS page, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://base.example' || href END AS link FROM (SELECT page_id, regexp_extract(html, '<a href=\"([^\"]*)\"', 1) AS href FROM pages) WHERE href <> ''")
 def fn_absolute_url(spark, sf_dir):
-    href = F.regexp_extract("html", '<a href="([^"]*)"', 1)
-    link = F.when(href == "", F.lit(None)).when(href.startswith("http"), href).otherwise(F.concat(F.lit("https://base.example"), href))
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", link.alias("link"))
+    """The first link of each page, by the extraction operator."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit("any").alias("store"), F.col("page_id").cast("int").alias("page"), "html")
+    specs = spark.createDataFrame([("any", "first_link")], "store string, spec string")
+    return extract.extract_offers(pages, specs).select("page", F.col("url").alias("link"))
 
 
 # -- sources --------------------------------------------------------------------------------------
@@ -152,9 +157,36 @@ def src_merged_json(spark, sf_dir):
     return back.select("store", F.posexplode("own").alias("row_pos", "o")).select("store", "o.*", F.col("row_pos").cast("long").alias("row_pos"))
 
 
+def _shelf(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: the session's checkpoint folder, or a local one in a session of one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="vitrina-") if spark.sparkContext.master.startswith("local") else None)
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(RAW_SQL + " SELECT raw_title AS title, original_price, current_price, stock_status, url, store, registry_pos, row_number() OVER (PARTITION BY store ORDER BY row_pos, raw_title, original_price) - 1 AS row_pos FROM raw")
+def src_json_scan(spark, sf_dir):
+    """Offers through the JSON sink (lines) and back through the JSON scan."""
+    rows = raw_offers(spark, sf_dir)
+    in_store = Window.partitionBy("store").orderBy("row_pos", "title", "original_price")
+    numbered = rows.withColumn("row_pos", (F.row_number().over(in_store) - 1).cast("long"))
+    path = _shelf(spark, "lines")
+    snapshots.write_json(numbered, stores(spark, sf_dir), path)
+    return snapshots.read_json(spark, path)
+
+
+@query(RAW_SQL + " SELECT raw_title AS title, original_price, current_price, stock_status, url FROM raw")
+def src_csv_scan(spark, sf_dir):
+    """Offers through the CSV sink and back through the CSV scan."""
+    path = _shelf(spark, "csv")
+    snapshots.write_csv(raw_offers(spark, sf_dir), path)
+    return snapshots.read_csv(spark, [f"{path}/*/*.csv"]).select("title", "original_price", "current_price", "stock_status", "url")
+
+
 #: Captures: each page shows the turns of one conversation; a store's pages follow each other.
 PAGES_SQL = """
-o AS (SELECT 's' || (conv_id % 7) AS store, (conv_id // 7 + 1)::INT AS page, turn::INT AS pos, CASE WHEN (conv_id // 7) % 9 = 8 THEN 'same' ELSE text END AS title FROM conversations WHERE conv_id % 5 <> 4),
+o AS (SELECT 's' || (conv_id % 7) AS store, (conv_id // 7 + 1)::INT AS page, turn::INT AS pos, CASE WHEN (conv_id // 7) % 9 = 8 THEN 'same' ELSE text END AS title FROM conversations),
 p AS (SELECT 's' || (conv_id % 7) AS store, (conv_id // 7 + 1)::INT AS page, max(conv_id % 11) = 10 AND min(conv_id) > 50 AS failed FROM conversations GROUP BY conv_id),
 l AS (SELECT store, page, list(title ORDER BY pos) AS titles FROM o GROUP BY ALL),
 j AS (SELECT p.store, p.page, failed OR titles IS NULL OR coalesce(titles = lag(titles) OVER w, false) AS stop FROM p LEFT JOIN l USING (store, page) WINDOW w AS (PARTITION BY p.store ORDER BY p.page)),
@@ -165,7 +197,7 @@ k AS (SELECT store, page, max(stop::INT) OVER (PARTITION BY store ORDER BY page)
 def src_scan_stop(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     at = [F.concat(F.lit("s"), (F.col("conv_id") % 7).cast("string")).alias("store"), F.expr("cast(conv_id div 7 + 1 as int)").alias("page")]
-    shown = turns.filter("conv_id % 5 <> 4").select(*at, F.col("turn").cast("int").alias("pos"), F.when(F.expr("(conv_id div 7) % 9 = 8"), "same").otherwise(F.col("text")).alias("title"))
+    shown = turns.select(*at, F.col("turn").cast("int").alias("pos"), F.when(F.expr("(conv_id div 7) % 9 = 8"), "same").otherwise(F.col("text")).alias("title"))
     pages = turns.groupBy("conv_id").agg(F.count("*").alias("n")).select(*at, F.when(F.expr("conv_id % 11 = 10 and conv_id > 50"), F.lit(None)).otherwise(F.lit("x")).cast("string").alias("html"))
     return captures.stop_rows(shown, pages)
 
@@ -192,6 +224,18 @@ def ext_cards(spark, sf_dir):
     return extract.extract_offers(cards, specs).select("title", "original_price", "current_price", "stock_status", "url")
 
 
+def _shop(site: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return shops.read_cards(spark, sf_dir, site)
+
+    run.__name__ = f"ext_shop_{site}"
+    query(shops.expected_sql(shops.LAYOUTS[site]))(run)
+
+
+for _site in shops.LAYOUTS:
+    _shop(_site)
+
+
 # -- search ---------------------------------------------------------------------------------------
 
 #: Longest common subsequence of x and y by a running row of counts.
@@ -226,17 +270,22 @@ def search_titles(spark, sf_dir):
     return catalog.search_many(offers(spark, sf_dir), asked, 70.0).withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH pairs AS (SELECT a.p_name AS wanted, b.p_name AS norm FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b), {RATIO_SQL} SELECT wanted, norm, round(score, 9) AS score FROM scored")
+@query(f"WITH pairs AS (SELECT a.p_name AS wanted, b.p_name AS norm FROM (SELECT DISTINCT p_name FROM part WHERE p_partkey % 20 = 0) a, (SELECT DISTINCT p_name FROM part) b), {RATIO_SQL} SELECT wanted, norm, round(score, 9) AS score FROM scored")
 def fn_token_set_ratio(spark, sf_dir):
-    names = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").distinct()
-    pairs = names.select(F.col("p_name").alias("wanted")).join(F.broadcast(names.select(F.col("p_name").alias("norm"))), F.lit(True))
-    return add_token_set_ratio(pairs, "wanted", "norm", "score").withColumn("score", F.round("score", 9))
+    """All names against a query set: those of every twentieth part, broadcast in blocks."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    names = part.select(F.col("p_name").alias("norm")).distinct()
+    asked = part.filter("p_partkey % 20 = 0").select(F.col("p_name").alias("wanted")).distinct()
+    pairs = [names.crossJoin(F.broadcast(block)) for block in catalog.in_blocks(asked, "wanted", catalog.QUERY_BLOCK)]
+    scored = [add_token_set_ratio(p, "wanted", "norm", "score") for p in pairs]
+    return reduce(DataFrame.unionByName, scored).withColumn("score", F.round("score", 9))
 
 
-@query(f"SELECT item_id, x, y, {LCS_SQL}::INT AS n FROM (SELECT item_id, left(text, 40) AS x, substr(text, 21, 90) AS y FROM benchmark)")
+@query(f"SELECT p_partkey, x, y, {LCS_SQL}::INT AS n FROM (SELECT p_partkey, p_name || ' ' || p_brand AS x, p_type || ' ' || p_name AS y FROM part)")
 def fn_common_subsequence(spark, sf_dir):
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.substr("text", F.lit(1), F.lit(40)).alias("x"), F.substr("text", F.lit(21), F.lit(90)).alias("y"))
-    return add_lcs(items, "x", "y", "n")
+    """Whole product names beside whole types; texts of any length are tested against brute force."""
+    sides = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("x"), F.concat_ws(" ", "p_type", "p_name").alias("y"))
+    return add_lcs(sides, "x", "y", "n")
 
 
 # -- price tables, deals, lists -------------------------------------------------------------------
@@ -302,8 +351,7 @@ SORT_SQL = {
 
 
 def _sorted(by: str) -> None:
-    ties = ", ".join(f"{c} ASC NULLS LAST" for c in ("store", "norm", "url", "original_price", "current_price", "stock_status", "title"))
-    sql = OFFERS_SQL + f" SELECT row_pos, store, (row_number() OVER (PARTITION BY store ORDER BY {SORT_SQL[by]}, {ties}, registry_pos, row_pos))::INT AS rank FROM shown"
+    sql = OFFERS_SQL + f" SELECT row_pos, store, (row_number() OVER (PARTITION BY store ORDER BY {SORT_SQL[by]}, registry_pos, row_pos))::INT AS rank FROM shown"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return catalog.ranked(offers(spark, sf_dir), by).select("row_pos", "store", "rank")
@@ -329,9 +377,9 @@ def dedup_by_norm(spark, sf_dir):
     return catalog.titles_by_norm(offers(spark, sf_dir))
 
 
-@query(OFFERS_SQL + " SELECT s_name AS site, count(store) AS total, count(current_price) AS on_sale, count(*) FILTER (stock_status = 'Agotado') AS agotado FROM supplier LEFT JOIN offers ON store = s_name AND registry_pos % 4 <> 1 GROUP BY 1")
+@query(OFFERS_SQL + " SELECT s_name AS site, count(store) AS total, count(current_price) AS on_sale, count(*) FILTER (stock_status = 'Agotado') AS agotado FROM supplier LEFT JOIN offers ON store = s_name GROUP BY 1")
 def update_summary(spark, sf_dir):
-    return catalog.update_summary(offers(spark, sf_dir).filter("registry_pos % 4 <> 1"), stores(spark, sf_dir))
+    return catalog.update_summary(offers(spark, sf_dir), stores(spark, sf_dir))
 
 
 @query(OFFERS_SQL + " SELECT store, title, current_price, row_pos FROM offers WHERE registry_pos % 2 = 1 UNION ALL SELECT store, title, NULL, row_pos FROM offers WHERE registry_pos % 2 = 0")

@@ -1,4 +1,4 @@
-"""A Python data source that captures a site's pages, one partition a site, and the scan rules on captured pages.
+"""A Python data source that captures sites' pages, at most `workers` sites at a time, and the scan rules on captured pages.
 
     spark.dataSource.register(SiteSource)
     spark.read.format("site_pages").option("sites", "updown,ludi").option("max_pages", 50).load()
@@ -47,31 +47,39 @@ def fetch(url: str) -> str | None:
 
 
 class SitePartition(InputPartition):
-    def __init__(self, store: str, base_url: str, spec: str, style: str) -> None:
-        self.store, self.base_url, self.spec, self.style = store, base_url, spec, style
+    """Sites that one task reads, one after the other: (store, base_url, spec, style) of each."""
+
+    def __init__(self, chosen: list[tuple[str, str, str, str]]) -> None:
+        self.chosen = chosen
 
 
 class SiteReader(DataSourceReader):
-    def __init__(self, chosen: list[tuple], max_pages: int | None, pause: float, get: Callable[[str], str | None] = fetch) -> None:
-        self.chosen, self.max_pages, self.pause, self.get = chosen, max_pages, pause, get
+    def __init__(self, chosen: list[tuple], max_pages: int | None, pause: float, get: Callable[[str], str | None] = fetch, workers: int = 0) -> None:
+        self.chosen, self.max_pages, self.pause, self.get, self.workers = chosen, max_pages, pause, get, workers
 
     def partitions(self) -> list[SitePartition]:
-        return [SitePartition(store, base, spec, style) for _, store, base, spec, style, _ in self.chosen]
+        each = [(store, base, spec, style) for _, store, base, spec, style, _ in self.chosen]
+        n = min(self.workers or len(each), len(each))
+        return [SitePartition(each[i::n]) for i in range(n)]
 
     def read(self, partition: SitePartition) -> Iterator[tuple]:
+        for site in partition.chosen:
+            yield from self.read_site(*site)
+
+    def read_site(self, store: str, base_url: str, spec: str, style: str) -> Iterator[tuple]:
         from vitrina.operators.extract import extract_page
 
         before: list | None = None
         for page in itertools.count(1) if self.max_pages is None else range(1, self.max_pages + 1):
-            url = build_url(partition.base_url, partition.style, page)
+            url = build_url(base_url, style, page)
             html = self.get(url)
             if html is None:
-                yield (partition.store, page, url, None)
+                yield (store, page, url, None)
                 return
-            titles = [o["title"] for o in extract_page(partition.spec, html)]
+            titles = [o["title"] for o in extract_page(spec, html)]
             if not titles or titles == before:
                 return
-            yield (partition.store, page, url, html)
+            yield (store, page, url, html)
             before = titles
             time.sleep(self.pause)
 
@@ -89,7 +97,7 @@ class SiteSource(DataSource):
         chosen = [row for row in site_rows() if not wanted or row[1] in wanted]
         dry = (self.options.get("dry_run") or "false").lower() == "true"
         most = self.options.get("max_pages")
-        return SiteReader(chosen, 1 if dry else int(most) if most else None, float(self.options.get("pause") or PAUSE_S))
+        return SiteReader(chosen, 1 if dry else int(most) if most else None, float(self.options.get("pause") or PAUSE_S), workers=int(self.options.get("workers") or 0))
 
 
 def stop_rows(offers: DataFrame, pages: DataFrame) -> DataFrame:

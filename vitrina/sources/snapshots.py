@@ -1,7 +1,12 @@
-"""Snapshot files: a CSV for each store, or one merged JSON document."""
+"""Snapshots: the Parquet catalogue that updates write, a CSV for each store, one merged JSON document, JSON lines.
+
+The merged document is one value, {store: [offers]}, in one file. Lines are the same in a folder: an offer a line with its
+store and place, and a line without an offer for each store that has none; any number of tasks write and read them.
+"""
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -10,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrina.operators.catalog import with_match_columns
-from vitrina.schema import MERGED, OFFER
+from vitrina.schema import CATALOGUE, LINE, MERGED, OFFER
 from vitrina.sources.sites import site_rows
 
 
@@ -20,8 +25,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+
+
 def read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Raw offers with the file's name and the row's place in it."""
+    """Raw offers with the file's name and the row's place in it: a file with quoted line feeds is never split, so the
+    numbers of its rows rise in their order."""
     raw = spark.read.schema(OFFER).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(paths)
     return raw.select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row_pos"))
 
@@ -36,16 +47,34 @@ def load_csv(spark: SparkSession, folder: str) -> DataFrame:
     return with_match_columns(raw.join(F.broadcast(registry), "file").drop("file"))  # the registry is a fixed table
 
 
-def load_json(spark: SparkSession, path: str) -> DataFrame:
-    """The merged document's stores; empty stores have no rows. An unreadable document gives none."""
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Raw offers of a merged document, or of a folder of lines, with store and place. An unreadable document gives none."""
+    if is_folder(spark, path):
+        return spark.read.schema(LINE).json(path).filter("row_pos is not null")
     text = spark.read.text(path, wholetext=True)
     stores = text.select(F.posexplode(F.map_entries(F.from_json("value", MERGED.simpleString()))).alias("registry_pos", "entry"))
     rows = stores.select("registry_pos", F.col("entry.key").alias("store"), F.posexplode("entry.value").alias("at", "offer"))
-    return with_match_columns(rows.select("offer.*", "store", "registry_pos", F.col("at").cast("long").alias("row_pos")))
+    return rows.select("offer.*", "store", "registry_pos", F.col("at").cast("long").alias("row_pos"))
+
 
+def load_json(spark: SparkSession, path: str) -> DataFrame:
+    """The merged document's stores; empty stores have no rows."""
+    return with_match_columns(read_json(spark, path))
 
-def load_offers(spark: SparkSession, folder: str, document: str = "products.json") -> DataFrame:
-    """The merged document if it is there, readable and not empty; else the CSV files; else no rows."""
+
+def load_catalogue(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet catalogue as updates have written it; None if there is none, or nothing in it."""
+    if not exists(spark, path):
+        return None
+    rows = spark.read.schema(CATALOGUE).parquet(path)
+    return None if rows.isEmpty() else rows
+
+
+def load_offers(spark: SparkSession, folder: str, document: str = "products.json", catalogue: str | None = None) -> DataFrame:
+    """The catalogue of the last updates if there is one; else the merged document if it is there, readable and not
+    empty; else the CSV files; else no rows."""
+    if catalogue and (rows := load_catalogue(spark, catalogue)) is not None:
+        return rows
     path = f"{folder}/{document}"
     if exists(spark, path):
         try:
@@ -69,9 +98,31 @@ def merged_document(offers: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.select("store").join(arrays, "store", "left").select("store", F.coalesce("offers", F.array().cast(T.ArrayType(OFFER))).alias("offers"))
 
 
-def write_json(document: DataFrame, path: str) -> None:
-    """Rows of merged_document() as JSON lines {store, offers}."""
-    document.write.mode("overwrite").json(path)
+def write_json(offers: DataFrame, targets: DataFrame, path: str) -> None:
+    """Offers of the target stores as lines, which read_json() reads back; stores without offers have a line of their own."""
+    rows = offers.join(targets.select("store").distinct(), "store", "left_semi").select(*LINE.names)
+    empty = targets.select("store").distinct().join(offers.select("store"), "store", "left_anti")
+    rows.unionByName(empty, allowMissingColumns=True).write.mode("overwrite").json(path)
+
+
+def write_document(offers: DataFrame, targets: DataFrame, path: str) -> None:
+    """The merged document {store: [offers]} as one file, stores and offers in order. One file has one writer: rows
+    stream to it in order, a partition at a time, and no store is held."""
+    spark = offers.sparkSession
+    order = targets.select("store", "registry_pos").dropDuplicates(["store"])
+    rows = order.join(offers.select("store", "row_pos", F.to_json(F.struct(*OFFER.names), {"ignoreNullFields": "false"}).alias("offer")), "store", "left")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        before = None
+        for r in rows.orderBy("registry_pos", "store", "row_pos", "offer").toLocalIterator():
+            opened = r["store"] != before
+            head = ("{" if before is None else "], ") + json.dumps(r["store"], ensure_ascii=False) + ": [" if opened else ", "
+            stream.write(bytearray((head + (r["offer"] or "")).encode()))
+            before = r["store"]
+        stream.write(bytearray(b"{}" if before is None else b"]}"))
+    finally:
+        stream.close()
 
 
 def union_stores(parts: list[DataFrame]) -> DataFrame:
