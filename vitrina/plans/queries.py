@@ -218,8 +218,10 @@ CARDS = "'<ul><li class=\"product' || CASE WHEN stock_status = 'Agotado' THEN '
 
 @query(f"{RAW_SQL} SELECT raw_title AS title, original_price, CASE WHEN current_price <> original_price THEN current_price END AS current_price, CASE WHEN stock_status = 'Agotado' THEN 'Agotado' WHEN current_price <> original_price THEN 'Oferta' END AS stock_status, url FROM raw")
 def ext_cards(spark, sf_dir):
-    """Offers written as shop cards and extracted again."""
-    cards = raw_offers(spark, sf_dir).withColumnRenamed("title", "raw_title").select(F.lit("shop").alias("store"), F.lit(1).alias("page"), F.expr(CARDS).alias("html"))
+    """Offers written as shop cards and extracted again. Parsing costs far more than reading, so the narrow offers are
+    dealt to as many tasks as the session has, however few files they come from."""
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cards = raw_offers(spark, sf_dir).repartition(tasks).withColumnRenamed("title", "raw_title").select(F.lit("shop").alias("store"), F.lit(1).alias("page"), F.expr(CARDS).alias("html"))
     specs = spark.createDataFrame([("shop", "cartonazo")], "store string, spec string")
     return extract.extract_offers(cards, specs).select("title", "original_price", "current_price", "stock_status", "url")
 
