@@ -131,11 +131,18 @@ def unit_vectors(rng, n, terms, most):
 
 
 def test_index_is_exact():
-    import numpy as np
-
     rng = random.Random(13)
     vectors = unit_vectors(rng, 700, 60, 8)
-    index = toxicity.Index(vectors, 60)
+    for index in (toxicity.Index(vectors, 60, 0.0), toxicity.Index(vectors, 60, 0.08), toxicity.Index(vectors, 60, 1.1)):
+        check_index(index, vectors)
+
+
+def check_index(index, vectors):
+    import pickle
+
+    import numpy as np
+
+    index = pickle.loads(pickle.dumps(index))
     for terms, weights in vectors[:80]:
         mine = dict(zip(terms.tolist(), weights.tolist(), strict=True))
         scores = sorted(((-round(sum(w * mine.get(t, 0.0) for t, w in zip(a.tolist(), x.tolist(), strict=True)), 9), i) for i, (a, x) in enumerate(vectors)))
@@ -152,7 +159,7 @@ def test_blocks_are_skipped(monkeypatch):
     import numpy as np
 
     groups = [(np.array([2 * g, 2 * g + 1]), np.array([0.8, 0.6])) for g in range(30) for _ in range(toxicity.BLOCK)]
-    index = toxicity.Index(groups, 60)
+    index = toxicity.Index(groups, 60, 1.1)
     seen = []
     plain = toxicity.ranges
     monkeypatch.setattr(toxicity, "ranges", lambda lo, hi: seen.append(int((hi - lo).sum())) or plain(lo, hi))

@@ -10,7 +10,8 @@ its few insults (the README has the figures).
 The inverted index keeps a term's postings by blocks of 64 examples, each with its largest weight. The sum of
 these maxima bounds every cosine in a block. The blocks with the highest bounds are read first; of the others only
 those are read whose bound reaches the k-th neighbour found so far. A skipped block's postings are never touched,
-and the neighbours are exact.
+and the neighbours are exact. Terms of a twentieth of the examples and more have no postings but a row of a matrix; their
+part of all cosines is one product for a batch of texts and goes into the bounds as it is.
 
 Votes are weighted by nearness and by what an example stands for in its class; a logistic curve, fitted on each
 example's votes without itself, turns them into probabilities. Examples with the very text that is scored don't
@@ -29,6 +30,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,6 +48,8 @@ FOCUS, SMOOTH = 2.0, 3.0
 #: Terms in at least this share of the examples order them, so that alike examples share blocks.
 COMMON_SHARE = 0.02
 CACHE = 20_000
+#: Terms in at least this share of the examples are rows of a matrix; texts that are multiplied with it at a time.
+DENSE_SHARE, BATCH = 0.05, 64
 ADDED = T.StructType(
     [
         T.StructField("score", T.DoubleType()),
@@ -85,18 +89,27 @@ class Index:
     """Exact top-k cosine over unit vectors by block-max bounds.
 
     vectors: (terms ascending, weights) of each example as arrays. A term's entries are its blocks; an entry
-    has the largest weight and the place of its postings.
+    has the largest weight and the place of its postings. Terms that very many examples have are rows of a matrix
+    instead: their part of all cosines is one product for a batch of texts, and a block's bound is its largest such part and the
+    maxima of the other terms.
     """
 
-    def __init__(self, vectors: list[tuple], n_terms: int) -> None:
+    def __init__(self, vectors: list[tuple], n_terms: int, dense_share: float = DENSE_SHARE) -> None:
         import numpy as np
 
         self.n, self.n_blocks = len(vectors), -(-len(vectors) // BLOCK)
         terms = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
         rows = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
+        weights = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
+        often = np.flatnonzero(np.bincount(terms, minlength=n_terms) >= max(2.0, dense_share * self.n))
+        self.column = np.full(n_terms, -1)
+        self.column[often] = np.arange(len(often))
+        common = self.column[terms] >= 0
+        self.common = (len(often), self.column[terms[common]].astype(np.int32), rows[common].astype(np.int32), weights[common])
+        self._matrix = None
+        terms, rows, weights = terms[~common], rows[~common], weights[~common]
         order = np.lexsort((rows, terms))
-        terms, self.rows = terms[order], rows[order].astype(np.int32)
-        self.weights = (np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0))[order]
+        terms, self.rows, self.weights = terms[order], rows[order].astype(np.int64), weights[order]
         blocks = self.rows // BLOCK
         new = np.ones(len(terms), bool)
         new[1:] = (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])
@@ -106,37 +119,65 @@ class Index:
         self.entry_at = np.append(at, len(terms))
         self.term_at = np.searchsorted(terms[at], np.arange(n_terms + 1))
 
-    def top(self, terms, weights, k: int, without: frozenset[int] = frozenset()) -> list[tuple[float, int]]:
+    @property
+    def matrix(self):
+        """Weights of common terms, a row a term; made where it is used, not sent."""
+        import numpy as np
+
+        if self._matrix is None:
+            n, columns, rows, weights = self.common
+            self._matrix = np.zeros((n, self.n_blocks * BLOCK))
+            self._matrix[columns, rows] = weights
+        return self._matrix
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_matrix": None}
+
+    def common_parts(self, queries: list[tuple]):
+        """The part of all cosines that the matrix holds, a row for each query (terms, weights)."""
+        import numpy as np
+
+        left = np.zeros((len(queries), len(self.matrix)))
+        for i, (terms, weights) in enumerate(queries):
+            columns = self.column[terms]
+            left[i, columns[columns >= 0]] = weights[columns >= 0]
+        return left @ self.matrix
+
+    def top(self, terms, weights, k: int, without: frozenset[int] = frozenset(), part=None) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest examples with a positive cosine, best first; but for `without`."""
         import numpy as np
 
+        if part is None:
+            part = self.common_parts([(terms, weights)])[0]
+        rare = self.column[terms] < 0
+        terms, weights = terms[rare], weights[rare]
         starts, ends = self.term_at[terms], self.term_at[terms + 1]
         entries, own = ranges(starts, ends), np.repeat(weights, ends - starts)
         blocks = self.entry_block[entries]
-        bounds = np.bincount(blocks, own * self.entry_max[entries], self.n_blocks)
+        bounds = np.bincount(blocks, own * self.entry_max[entries], self.n_blocks) + part.reshape(-1, BLOCK).max(1, initial=0.0)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         best: list[tuple[float, int]] = []
-        chosen = np.zeros(self.n_blocks, bool)
-        for part in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
-            if len(best) == k:
-                part = part[bounds[part] >= -best[-1][0] - 1e-9]
-            if not len(part):
+        for chosen in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            floor = -best[-1][0] if len(best) == k else 0.0
+            chosen = chosen[bounds[chosen] >= floor - 1e-9]
+            if not len(chosen):
                 continue
-            chosen[:] = False
-            chosen[part] = True
-            read = chosen[blocks]
-            some, some_own = entries[read], own[read]
+            reads = np.zeros(self.n_blocks, bool)
+            reads[chosen] = True
+            read = np.flatnonzero(reads[blocks])
+            some = entries[read]
             lo, hi = self.entry_at[some], self.entry_at[some + 1]
             places = ranges(lo, hi)
-            scores = np.round(np.bincount(self.rows[places], np.repeat(some_own, hi - lo) * self.weights[places], self.n), 12)
+            rows = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            scores = (np.bincount(self.rows[places], np.repeat(own[read], hi - lo) * self.weights[places], self.n_blocks * BLOCK) + part)[rows]
             if without:
-                scores[list(without)] = 0.0
-            floor = -best[-1][0] if len(best) == k else 0.0
-            found = np.flatnonzero((scores >= floor) & (scores > 0))
-            if len(found) > 4 * k:
-                found = found[scores[found] >= np.partition(scores[found], -k)[-k]]
-            best = sorted(best + [(-s, i) for s, i in zip(scores[found].tolist(), found.tolist(), strict=True)])[:k]
+                scores[np.isin(rows, list(without))] = 0.0
+            if len(scores) > 4 * k:
+                floor = max(floor, float(np.partition(scores, -k)[-k]))
+            found = np.flatnonzero((scores >= floor - 1e-11) & (scores > 0))
+            exact = np.round(scores[found], 12)
+            best = sorted(best + [(-s, i) for s, i in zip(exact.tolist(), rows[found].tolist(), strict=True) if s > 0])[:k]
         return [(-s, i) for s, i in best]
 
 
@@ -182,32 +223,35 @@ class Model:
         self.index = Index(vectors, len(number))
         self.curve = (1.0, 0.0)
         if 0 < n_toxic < n:
-            self.curve = self._calibrate([self._votes(self._near(t, w, examples[i][2])) for (t, w), i in zip(vectors, order, strict=True)])
+            self.curve = self._calibrate([self._votes(near) for near in self._neighbours([(*v, examples[i][2]) for v, i in zip(vectors, order, strict=True)])])
         self.cache: dict[int, tuple] = {}
 
     def vector(self, counts: dict[bytes, int]) -> tuple:
         """Known terms, ascending, and their weights in the unit vector of a text."""
         import numpy as np
 
-        number = self.number
-        known = sorted((i, n) for w, n in counts.items() if (i := number.get(w)) is not None)
-        terms = np.array([i for i, _ in known], np.int64)
-        times = np.array([n for _, n in known], float)
-        weights = (1 + np.log(times)) * self.weight[terms] if known else np.zeros(0)
-        square = float((weights * weights).sum())
-        if len(known) < len(counts):
-            square += sum(((1 + math.log(n)) * self.unknown) ** 2 for w, n in counts.items() if w not in number)
+        n = len(counts)
+        ids = np.fromiter(map(self.number.get, counts, repeat(-1)), np.int64, n)
+        tf = 1 + np.log(np.fromiter(counts.values(), float, n))
+        known = ids >= 0
+        strange = tf[~known] * self.unknown
+        terms = ids[known]
+        at = np.argsort(terms)
+        terms = terms[at]
+        weights = tf[known][at] * self.weight[terms] if n else tf
+        square = float((weights * weights).sum() + (strange * strange).sum())
         return terms, weights / math.sqrt(square) if square else weights
 
-    def _near(self, terms, weights, key: int) -> list[tuple[float, int]]:
-        """Nearest examples of another text, (cosine, row), ties by id."""
-        if not len(terms):
-            return []
-        without = frozenset(self.same.get(key, ()))
-        near = self.index.top(terms, weights, self.k + TIES, without)
-        if len(near) > self.k and near[self.k - 1][0] == near[-1][0]:  # more ties at the end than were asked for
-            near = self.index.top(terms, weights, self.index.n, without)
-        return sorted(near, key=lambda x: (-x[0], self.ids[x[1]]))[: self.k]
+    def _neighbours(self, queries: list[tuple]) -> Iterator[list[tuple[float, int]]]:
+        """Nearest examples of another text for each (terms, weights, text_key): (cosine, row), ties by id."""
+        for at in range(0, len(queries), BATCH):
+            batch = queries[at : at + BATCH]
+            for (terms, weights, key), part in zip(batch, self.index.common_parts([q[:2] for q in batch]), strict=True):
+                without = frozenset(self.same.get(key, ()))
+                near = self.index.top(terms, weights, self.k + TIES, without, part) if len(terms) else []
+                if len(near) > self.k and near[self.k - 1][0] == near[-1][0]:  # more ties at the end than were asked for
+                    near = self.index.top(terms, weights, self.index.n, without, part)
+                yield sorted(near, key=lambda x: (-x[0], self.ids[x[1]]))[: self.k]
 
     def _votes(self, near: list[tuple[float, int]]) -> float:
         """Log odds of toxic votes; the class prior has a small vote of its own."""
@@ -238,19 +282,20 @@ class Model:
                 break
         return max(a, 1e-3), b
 
-    def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        """Probability and nearest examples of a text."""
+    def score(self, texts: list[str]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Probability and nearest examples of each text; equal texts are looked up once."""
         if not self.ids or not self.prior:
-            return 0.0, []
-        key = text_key(text)
-        if key not in self.cache:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            near = self._near(*self.vector(Counter(split_words(text))), key)
-            a, b = self.curve
+            return [(0.0, []) for _ in texts]
+        keys = list(map(text_key, texts))
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
+        fresh = {key: text for key, text in zip(keys, texts, strict=True) if key not in self.cache}
+        queries = [(*self.vector(Counter(split_words(text))), key) for key, text in fresh.items()]
+        a, b = self.curve
+        for (_, _, key), near in zip(queries, self._neighbours(queries), strict=True):
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a * self._votes(near) + b)))) if near else self.prior
             self.cache[key] = (p, near)
-        return self.cache[key]
+        return [self.cache[key] for key in keys]
 
 
 #: Neighbours that are asked for beyond k, to order ties at the end by id.
@@ -305,12 +350,20 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: f
         own = shared.value
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            found = [own.score(t) for t in texts_of(batch, text_col)]
-            evidence = [[{"doc_id": own.ids[i], "similarity": s, "toxic": own.toxic[i]} for s, i in near] for _, near in found]
+            found, texts = [], []
+            for text in texts_of(batch, text_col):
+                texts.append(text)
+                if len(texts) == BATCH:
+                    found += own.score(texts)
+                    texts = []
+            found += own.score(texts)
+            near = [x for _, own_near in found for x in own_near]
+            parts = [pa.array([own.ids[i] for _, i in near], pa.int64()), pa.array([x for x, _ in near], pa.float64()), pa.array([own.toxic[i] for _, i in near], pa.int32())]
+            ends = list(accumulate((len(x) for _, x in found), initial=0))
             return [
-                pa.array([s for s, _ in found], pa.float64()),
-                pa.array([int(s >= threshold) for s, _ in found], pa.int32()),
-                pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))),
+                pa.array([x for x, _ in found], pa.float64()),
+                pa.array([int(x >= threshold) for x, _ in found], pa.int32()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["doc_id", "similarity", "toxic"])),
             ]
 
         return work
