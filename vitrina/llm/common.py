@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 SPACE = " \t\n\x0b\x0c\r"
 #: The letters that ASCII lower-casing changes.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows of a batch that goes back to the JVM.
+ROWS_OUT = 1024
 #: Where pack_row() puts a row's columns.
 ROW = "__packed_row__"
 
@@ -110,9 +112,11 @@ def map_rows(df: DataFrame, added: T.StructType, make: Callable[[], Callable[[pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            arrays = work(batch)
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in keep_names], *arrays], names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_OUT):
+                batch = whole.slice(at, ROWS_OUT)
+                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in keep_names], *work(batch)], names)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, out)
 

@@ -10,7 +10,7 @@ its few insults (the README has the figures).
 The inverted index keeps a term's postings by blocks of 64 examples, each with its largest weight. The sum of
 these maxima bounds every cosine in a block. The blocks with the highest bounds are read first; of the others only
 those are read whose bound reaches the k-th neighbour found so far. A skipped block's postings are never touched,
-and the neighbours are exact. Terms of a twentieth of the examples and more have no postings but a row of a matrix; their
+and the neighbours are exact. Terms of a tenth of the examples and more have no postings but a row of a matrix; their
 part of all cosines is one product for a batch of texts and goes into the bounds as it is.
 
 Votes are weighted by nearness and by what an example stands for in its class; a logistic curve, fitted on each
@@ -47,9 +47,9 @@ BLOCK, FIRST_BLOCKS = 64, 6
 FOCUS, SMOOTH = 2.0, 3.0
 #: Terms in at least this share of the examples order them, so that alike examples share blocks.
 COMMON_SHARE = 0.02
-CACHE = 20_000
+CACHE = 4_000
 #: Terms in at least this share of the examples are rows of a matrix; texts that are multiplied with it at a time.
-DENSE_SHARE, BATCH = 0.05, 64
+DENSE_SHARE, BATCH = 0.1, 64
 ADDED = T.StructType(
     [
         T.StructField("score", T.DoubleType()),
@@ -102,22 +102,22 @@ class Index:
         rows = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
         weights = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
         often = np.flatnonzero(np.bincount(terms, minlength=n_terms) >= max(2.0, dense_share * self.n))
-        self.column = np.full(n_terms, -1)
+        self.column = np.full(n_terms, -1, np.int32)
         self.column[often] = np.arange(len(often))
         common = self.column[terms] >= 0
         self.common = (len(often), self.column[terms[common]].astype(np.int32), rows[common].astype(np.int32), weights[common])
         self._matrix = None
         terms, rows, weights = terms[~common], rows[~common], weights[~common]
         order = np.lexsort((rows, terms))
-        terms, self.rows, self.weights = terms[order], rows[order].astype(np.int64), weights[order]
+        terms, self.rows, self.weights = terms[order], rows[order].astype(np.int32), weights[order]
         blocks = self.rows // BLOCK
         new = np.ones(len(terms), bool)
         new[1:] = (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])
         at = np.flatnonzero(new)
-        self.entry_block = blocks[at]
+        self.entry_block = blocks[at].astype(np.int32)
         self.entry_max = np.maximum.reduceat(self.weights, at) if len(at) else np.zeros(0)
-        self.entry_at = np.append(at, len(terms))
-        self.term_at = np.searchsorted(terms[at], np.arange(n_terms + 1))
+        self.entry_at = np.append(at, len(terms)).astype(np.int32)
+        self.term_at = np.searchsorted(terms[at], np.arange(n_terms + 1)).astype(np.int32)
 
     @property
     def matrix(self):
@@ -342,8 +342,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, max_clean:
     return Model(found, share, k)
 
 
-def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs with score, predicted and evidence (the nearest examples)."""
+def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.3, evidence: bool = True) -> DataFrame:
+    """docs with score, predicted and evidence (the nearest examples; left out if they are not wanted)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -357,18 +357,17 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: f
                     found += own.score(texts)
                     texts = []
             found += own.score(texts)
-            near = [x for _, own_near in found for x in own_near]
-            parts = [pa.array([own.ids[i] for _, i in near], pa.int64()), pa.array([x for x, _ in near], pa.float64()), pa.array([own.toxic[i] for _, i in near], pa.int32())]
-            ends = list(accumulate((len(x) for _, x in found), initial=0))
-            return [
-                pa.array([x for x, _ in found], pa.float64()),
-                pa.array([int(x >= threshold) for x, _ in found], pa.int32()),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["doc_id", "similarity", "toxic"])),
-            ]
+            out = [pa.array([x for x, _ in found], pa.float64()), pa.array([int(x >= threshold) for x, _ in found], pa.int32())]
+            if evidence:
+                near = [x for _, own_near in found for x in own_near]
+                parts = [pa.array([own.ids[i] for _, i in near], pa.int64()), pa.array([x for x, _ in near], pa.float64()), pa.array([own.toxic[i] for _, i in near], pa.int32())]
+                ends = list(accumulate((len(x) for _, x in found), initial=0))
+                out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["doc_id", "similarity", "toxic"])))
+            return out
 
         return work
 
-    return map_rows(docs, ADDED, make)
+    return map_rows(docs, ADDED if evidence else T.StructType(ADDED.fields[:2]), make)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -387,4 +386,4 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted toxic; their own columns only."""
     model = fit(docs, labels.select("doc_id", "toxic").filter(~held_out(F.col("doc_id"))))
     # scored beside the text under names of this operator's own, so that no column of docs is lost
-    return unpack_row(score(pack_row(docs, "text"), model).filter("predicted = 0"), docs.columns, "text")
+    return unpack_row(score(pack_row(docs, "text"), model, evidence=False).filter("predicted = 0"), docs.columns, "text")
