@@ -39,8 +39,8 @@ BLOCK = 256
 MAX_BITS = 18
 #: Ids in a shard, and in what one task writes.
 SHARD_TOKENS, PART_TOKENS = 1 << 18, 1 << 22
-#: Chunks of text whose ids a worker keeps; the cache is cleared when full.
-CACHE_CHUNKS = 300_000
+#: Chunks of text whose ids a worker keeps, some 130 bytes each; the cache is cleared when full.
+CACHE_CHUNKS = 1_000_000
 #: A single space or line feed between two of these visible characters always starts or is a
 #: token of its own in the byte-level split, so a text may be cut there without changing its ids.
 SAFE = "!-~¡-¬®-ɏ"
@@ -50,7 +50,8 @@ LINE_CUT = re.compile(f"(?<=[{SAFE}])(\n)(?=[{SAFE}])")
 #: itself, since every regex engine agrees on their classes; others are cut as above.
 PLAIN = re.compile(f"[{SAFE} \n]*")
 LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
+#: Letters come first, since that is the commonest case; no contraction begins with one.
+PRETOKEN = re.compile(rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
 
 
 # -- encoding texts ---------------------------------------------------------------------------
