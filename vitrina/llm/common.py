@@ -61,23 +61,26 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
 FREQUENT_KEYS = 1000
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None, grows: bool = False) -> DataFrame:
     """left with the columns of right, which has at most one row a key; how: inner or left. Null keys match none.
 
     A key with over 1/FREQUENT_KEYS of left's rows would be a task of its own size. There are fewer than FREQUENT_KEYS of them
     whatever the data, so their rows of right are broadcast; all other rows are joined by key. Both sides are
     read more than once and should be tables. counted: (key, n), the rows of each key, if they are known.
+    grows: right grows with the data, so the other rows are joined by sorting at every size, never by a broadcast
+    that only small inputs allow.
     """
     per_key = left.groupBy(key).agg(F.count("*").alias("n")) if counted is None else counted
     total = per_key.agg(F.sum("n")).first()[0] or 0
     limit = total / FREQUENT_KEYS
     frequent = [r[0] for r in per_key.filter((F.col("n") > limit) & (F.col("n") > 1) & F.col(key).isNotNull()).select(key).collect()]  # under FREQUENT_KEYS
+    rest = right.hint("merge") if grows else right
     if not frequent:
-        return left.join(right, key, how)
+        return left.join(rest, key, how)
     names = left.sparkSession.createDataFrame([(k,) for k in frequent], right.select(key).schema)
     of_frequent = F.broadcast(names.join(right, key, how))  # under FREQUENT_KEYS rows
     often = left.join(of_frequent, key)
-    seldom = left.join(F.broadcast(names), key, "left_anti").join(right, key, how)
+    seldom = left.join(F.broadcast(names), key, "left_anti").join(rest, key, how)
     return often.unionByName(seldom)
 
 

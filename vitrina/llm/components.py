@@ -24,7 +24,7 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     seen = pairs if large else pairs.filter("b < a")
     stats = seen.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n").checkpoint()
     least = stats.select("a", "m")
-    joined = join_unique(seen, least, "a", counted=stats.select("a", "n"))
+    joined = join_unique(seen, least, "a", counted=stats.select("a", "n"), grows=True)
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

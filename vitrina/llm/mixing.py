@@ -167,7 +167,7 @@ def draw(docs: DataFrame, rates: DataFrame, *, least: int = 0) -> DataFrame:
     copies = F.greatest(F.lit(least), (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
     times = scratch(rates.groupBy("doc_id").agg(F.max("rate").alias("rate")).select("doc_id", copies.alias("copies")), "copies")
     packed = docs.select(quoted("doc_id").alias("id"), F.struct(F.lit(0).alias("_"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("whole"))
-    known = join_unique(packed.filter("id is not null"), times.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "copies"), "id", counted=docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")))
+    known = join_unique(packed.filter("id is not null"), times.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "copies"), "id", counted=docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")), grows=True)
     of_null = times.filter("doc_id is null").select("copies").first()
     none = packed.filter("id is null").withColumn("copies", F.lit(of_null["copies"] if of_null else 0))
     both = known.select("whole", "copies").unionByName(none.select("whole", "copies")).filter("copies > 0")

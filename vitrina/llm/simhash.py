@@ -122,7 +122,7 @@ def _differ(a: str, b: str) -> Column:
 def representative_links(posted: DataFrame, max_bits: int) -> DataFrame:
     """Links (a, b) of the members of each posting (fp, key) with its least and greatest one."""
     per_key = scratch(posted.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).filter("n > 1"), "simhash-postings")
-    met = join_unique(posted, per_key.select("key", "lo", "hi"), "key", counted=per_key.select("key", "n"))
+    met = join_unique(posted, per_key.select("key", "lo", "hi"), "key", counted=per_key.select("key", "n"), grows=True)
     ends = met.select("fp", F.explode(F.array("lo", "hi")).alias("end")).filter((F.col("fp") != F.col("end")) & (F.bit_count(_differ("fp", "end")) <= max_bits))
     return ends.select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct()
 
@@ -131,7 +131,7 @@ def crossing_links(posted: DataFrame, max_bits: int) -> DataFrame:
     """Links (a, b) between different components of the members (fp, component, key) of each posting."""
     span = posted.groupBy("key").agg(F.min(F.struct("fp", "component")).alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"))
     mixed = scratch(span.filter("c0 <> c1").select("key", F.col("m.component").alias("main"), "n"), "simhash-mixed")
-    members = scratch(join_unique(posted, mixed.select("key", "main"), "key", counted=mixed.select("key", "n")), "simhash-members")
+    members = scratch(join_unique(posted, mixed.select("key", "main"), "key", counted=mixed.select("key", "n"), grows=True), "simhash-members")
     left = members.filter("component <> main").select(F.col("fp").alias("a"), F.col("component").alias("of_a"), "key")
     right = members.select(F.col("fp").alias("b"), F.col("component").alias("of_b"), F.col("key").alias("other"), (F.col("component") == F.col("main")).alias("in_main"))
     differ = _differ("a", "b")
@@ -155,14 +155,14 @@ def linked_components(fps: DataFrame, max_bits: int = 4) -> DataFrame:
         raise ValueError("the index guarantees pairs of up to 4 differing bits")
     near = components(representative_links(postings(fps.select("fp")), max_bits)).select(F.col("node").alias("fp"), "component")
     near = scratch(near, "simhash-near")
-    labelled = scratch(join_unique(fps.select("fp"), near, "fp", "left", counted=fps.select("fp", F.lit(1).alias("n"))).select("fp", F.coalesce("component", "fp").alias("component")), "simhash-labelled")
+    labelled = scratch(join_unique(fps.select("fp"), near, "fp", "left", counted=fps.select("fp", F.lit(1).alias("n")), grows=True).select("fp", F.coalesce("component", "fp").alias("component")), "simhash-labelled")
     crossing = scratch(crossing_links(postings(labelled), max_bits), "simhash-links")
     if crossing.isEmpty():
         return near
     # components of components
     ends = crossing.join(labelled.select(F.col("fp").alias("a"), F.col("component").alias("x")), "a").join(labelled.select(F.col("fp").alias("b"), F.col("component").alias("y")), "b")
     joined = scratch(components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("whole")), "simhash-joined")
-    of_whole = join_unique(labelled, joined, "component", "left")
+    of_whole = join_unique(labelled, joined, "component", "left", grows=True)
     return of_whole.filter("whole is not null or component <> fp").select("fp", F.coalesce("whole", "component").alias("component")).unionByName(near.filter("fp = component").join(joined, "component", "left_anti").select("fp", "component"))
 
 
@@ -172,10 +172,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = scratch(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size")), "simhash-classes")
     linked = scratch(linked_components(classes, max_bits), "simhash-linked")
     one_each = classes.select("fp", F.lit(1).alias("n"))
-    whole = scratch(join_unique(classes, linked, "fp", "left", counted=one_each).select("fp", "least", "class_size", F.coalesce("component", "fp").alias("component")), "simhash-whole")
+    whole = scratch(join_unique(classes, linked, "fp", "left", counted=one_each, grows=True).select("fp", "least", "class_size", F.coalesce("component", "fp").alias("component")), "simhash-whole")
     ends = scratch(whole.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-ends")
-    named = scratch(join_unique(whole, ends, "component").select("fp", "component_id", "class_size"), "simhash-named")
-    return join_unique(marked, named, "fp", counted=classes.select("fp", F.col("class_size").alias("n"))).select("doc_id", "fp", "component_id", "class_size")
+    named = scratch(join_unique(whole, ends, "component", grows=True).select("fp", "component_id", "class_size"), "simhash-named")
+    return join_unique(marked, named, "fp", counted=classes.select("fp", F.col("class_size").alias("n")), grows=True).select("doc_id", "fp", "component_id", "class_size")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -186,11 +186,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     kept = scratch(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-kept")
     kinds = dict(docs.dtypes)
     packed = docs.select(quoted(id_col).alias("doc_id"), F.struct(F.lit(0).alias("_"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("whole"))
-    both = packed.join(kept.filter("n = 1"), "doc_id", "left_semi").select("whole").unionByName(packed.filter("doc_id is null").select("whole"))
+    both = packed.join(kept.filter("n = 1").hint("merge"), "doc_id", "left_semi").select("whole").unionByName(packed.filter("doc_id is null").select("whole"))
     repeated = kept.filter("n > 1")
     if not repeated.isEmpty():
         own = [F.col(f"whole.c{i}") for i, c in enumerate(docs.columns) if c != id_col and "map<" not in kinds[c]]
-        again = join_unique(packed, repeated.select("doc_id", F.lit(1).alias("one")), "doc_id", counted=repeated)
+        again = join_unique(packed, repeated.select("doc_id", F.lit(1).alias("one")), "doc_id", counted=repeated, grows=True)
         both = both.unionByName(again.groupBy("doc_id").agg(F.min_by("whole", F.struct(F.lit(0).alias("_"), *own)).alias("whole")).select("whole"))
     return both.select(*[F.col(f"whole.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 

@@ -39,8 +39,8 @@ BLOCK = 256
 MAX_BITS = 18
 #: Ids in a shard, and in what one task writes.
 SHARD_TOKENS, PART_TOKENS = 1 << 18, 1 << 22
-#: Chunks of text whose ids a worker keeps, some 130 bytes each; the cache is cleared when full.
-CACHE_CHUNKS = 1_000_000
+#: Chunks of text whose ids a worker keeps, some 200 bytes each; the cache is cleared when full.
+CACHE_CHUNKS = 400_000
 #: A single space or line feed between two of these visible characters always starts or is a
 #: token of its own in the byte-level split, so a text may be cut there without changing its ids.
 SAFE = "!-~¡-¬®-ɏ"
