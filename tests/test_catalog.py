@@ -1,10 +1,12 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from vitrina import cli, render, update
 from vitrina.operators import catalog
+from vitrina.plans import queries
 from vitrina.schema import OFFER, PAGE
 from vitrina.sources import captures, sites, snapshots
 from vitrina.sources.sites import site_rows
@@ -83,6 +85,33 @@ def test_snapshots(spark, offers, tmp_path):
     assert snapshots.union_stores(parts).columns == ["store", "title", "original_price", "current_price", "stock_status", "url"]
 
 
+def test_csv_files_follow_stores_or_rows(spark, tmp_path):
+    """Every task has rows of every store: one layout has a file a store, the other a file a task; both read back whole."""
+    columns = [*OFFER.names, "store", "row_pos"]
+    made = [(f' "T {i}",\nx ', "$1", None if i % 2 else "$2", None, f"u{i}", f"s{i % 40:02}", i // 40) for i in range(400)]
+    rows = spark.createDataFrame(made, "title string, original_price string, current_price string, stock_status string, url string, store string, row_pos long").repartition(8)
+    want = sorted(map(str, rows.select(OFFER.names).collect()))
+    snapshots.write_csv(rows, str(tmp_path / "stores"))
+    files = list((tmp_path / "stores").glob("store=*/*.csv"))
+    assert len({p.parent for p in files}) == 40 and len(files) <= 40 + 4
+    back = snapshots.read_csv(spark, [str(tmp_path / "stores/*/*.csv")])
+    assert sorted(map(str, back.select(OFFER.names).collect())) == want
+    own = [r["url"] for r in snapshots.read_csv(spark, sorted(map(str, (tmp_path / "stores/store=s07").glob("*.csv")))).orderBy("row_pos").collect()]
+    assert own == [f"u{i}" for i in range(7, 400, 40)]
+    snapshots.write_csv(rows, str(tmp_path / "rows"), by_store=False)
+    assert len(list((tmp_path / "rows").glob("*.csv"))) <= 8
+    told = snapshots.read_csv(spark, [str(tmp_path / "rows")], by_store=False)
+    assert sorted(map(str, told.select(*columns[:-1]).collect())) == sorted(map(str, rows.select(*columns[:-1]).collect()))
+
+
+def test_csv_query_writes_no_folder_a_store(spark, sf_dir):
+    shelf = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shelf.glob("csv-*"))
+    queries.REGISTRY["src_csv_scan"](spark, sf_dir)
+    (made,) = set(shelf.glob("csv-*")) - before
+    assert list(made.glob("*.csv")) and not [p for p in made.iterdir() if p.is_dir()]
+
+
 def test_json_round_trip(spark, offers, tmp_path):
     """What the sinks write, as lines or as one document, the scan reads."""
     targets = spark.createDataFrame([("empty", 2), ("b", 1), ("a", 0)], "store string, registry_pos int")

@@ -18,6 +18,9 @@ from vitrina.operators.catalog import with_match_columns
 from vitrina.schema import CATALOGUE, LINE, MERGED, OFFER
 from vitrina.sources.sites import site_rows
 
+#: Rows of a CSV file that holds any stores: files are never split, so one is a reading task.
+ROWS_A_FILE = 500_000
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system Spark resolves it to."""
@@ -30,10 +33,11 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
 
 
-def read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_csv(spark: SparkSession, paths: list[str], by_store: bool = True) -> DataFrame:
     """Raw offers with the file's name and the row's place in it: a file with quoted line feeds is never split, so the
-    numbers of its rows rise in their order."""
-    raw = spark.read.schema(OFFER).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(paths)
+    numbers of its rows rise in their order. by_store as for write_csv(): else the rows tell their store."""
+    schema = OFFER if by_store else T.StructType([*OFFER.fields, LINE["store"]])
+    raw = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(paths)
     return raw.select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row_pos"))
 
 
@@ -86,9 +90,18 @@ def load_offers(spark: SparkSession, folder: str, document: str = "products.json
     return load_csv(spark, folder)
 
 
-def write_csv(offers: DataFrame, folder: str) -> None:
-    """One CSV folder for each store that has offers."""
-    offers.select("store", *OFFER.names).write.mode("overwrite").partitionBy("store").option("header", True).option("escape", '"').csv(folder)
+def write_csv(offers: DataFrame, folder: str, by_store: bool = True) -> None:
+    """by_store: one CSV folder for each store that has offers, in order. Offers are dealt by store and place first: a task
+    with a few rows of every store would write as many files, stores times tasks in all; a large store is cut by place.
+    Else rows with the store as their last column, in as many files as the rows need, however many stores there are."""
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    if by_store:
+        order = ["store", *(["row_pos"] if "row_pos" in offers.columns else OFFER.names)]
+        dealt = offers.repartitionByRange(*order).sortWithinPartitions(*order)
+        writer = dealt.select("store", *OFFER.names).write.partitionBy("store")
+    else:
+        writer = offers.select(*OFFER.names, "store").write.option("maxRecordsPerFile", ROWS_A_FILE)
+    writer.mode("overwrite").options(header=True, escape='"', **spaces).csv(folder)
 
 
 def merged_document(offers: DataFrame, targets: DataFrame) -> DataFrame:
