@@ -184,6 +184,25 @@ def test_large_benchmarks_go_block_by_block(spark):
     assert whole.columns == parts.columns and whole.collect() == parts.collect() and "row" in whole.columns
 
 
+def test_batches_with_and_without_cuts_share_a_task(spark):
+    """One task gives batches that stay as they came and batches with a cut text, in either order."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    around = [" ".join(f"w{i}x{n}" for n in range(1500)) for i in range(12)]
+    cut = {i for i in range(12) if i // 2 in (1, 4)}
+    bench = spark.createDataFrame([("b", passage)], "item_id string, text string")
+    docs = spark.createDataFrame([(i, f"{around[i]} {passage} end" if i in cut else f"{around[i]} end", -1) for i in range(12)], "doc_id long, text string, n_chars long").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 2)
+    try:
+        got = {r["doc_id"]: r for r in decontaminate.keep_clean(docs, bench).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(got) == list(range(12))
+    assert all(got[i]["text"] == (f"{around[i]}  end" if i in cut else f"{around[i]} end") for i in got)
+    assert all(got[i]["n_chars"] == (len(got[i]["text"]) if i in cut else -1) for i in got)
+
+
 def test_keep_clean_cuts_long_spans(spark, sf_dir):
     """A long document holds 900 benchmark words, below the coverage limit: it stays, its passage goes."""
     import corpus_pipeline

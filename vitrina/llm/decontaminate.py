@@ -294,8 +294,8 @@ def remove_spans(docs: DataFrame, *, text_col: str = "text", max_words: int = 50
                         raw = raw[: at[a][0]] + raw[at[b - 1][1] :]
                     text = raw.decode()
                 out.append(text)
-            arrays = [pa.array(out, pa.string()) if n == text_col else batch.column(i) for i, n in enumerate(batch.schema.names)]
-            yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
+            arrays = [pa.array(out, f.type) if f.name == text_col else batch.column(i) for i, f in enumerate(batch.schema)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)  # as batches without a cut have it: a task writes one schema
 
     return docs.mapInArrow(cut, docs.schema)
 
