@@ -237,6 +237,40 @@ def test_toxicity_brute_force(spark):
     assert all(rows[i][0] not in [e["doc_id"] for e in r["evidence"]] for i, r in enumerate(got[: len(rows)]))
 
 
+def test_examples_are_read_once():
+    """A model needs no list of its examples, and its terms survive pickling."""
+    import pickle
+
+    examples = [(i, i % 2, i, *toxicity.count_words(f"w{i % 7} W{i % 3}, \xe4{i} both")) for i in range(40)]
+    once, listed = toxicity.Model(iter(examples), (1.0, 1.0), 5), toxicity.Model(examples, (1.0, 1.0), 5)
+    again = pickle.loads(pickle.dumps(once))
+    assert again.number == listed.number and list(again.number) == list(listed.number)
+    texts = ["w1 both", "", "w2 \xe47 w2", "unseen"]
+    assert again.score(texts) == once.score(texts) == listed.score(texts)
+
+
+def own_mb():
+    """Memory of this process that is no mapped file."""
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(int(line.split()[1]) for line in f if line.startswith(("Pss_Anon", "Pss_Shmem"))) / 1024
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory can't be read here")
+def test_driver_keeps_no_model(spark):
+    """What fitting takes goes back to the system: the driver keeps it neither as a model nor as freed gaps."""
+
+    def tables(n_docs, n_words):
+        text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n_words)), lambda i: F.hex(F.xxhash64("id", i))), " ")
+        docs = spark.range(n_docs).select(F.col("id").alias("doc_id"), text.alias("text"))
+        return docs, docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+
+    toxicity.contract(*tables(20, 5))  # imports
+    before = own_mb()
+    scored = toxicity.contract(*tables(800, 400))
+    assert own_mb() - before < 12  # 22 with the gaps
+    assert scored.count() == 800
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
 def test_held_out_accuracy(spark):
     docs, labels = (read_table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))

@@ -10,6 +10,8 @@ Rules that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -71,9 +73,11 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     that only small inputs allow.
     """
     per_key = left.groupBy(key).agg(F.count("*").alias("n")) if counted is None else counted
-    total = per_key.agg(F.sum("n")).first()[0] or 0
-    limit = total / FREQUENT_KEYS
-    frequent = [r[0] for r in per_key.filter((F.col("n") > limit) & (F.col("n") > 1) & F.col(key).isNotNull()).select(key).collect()]  # under FREQUENT_KEYS
+    total, most = per_key.agg(F.sum("n"), F.max(F.when(F.col(key).isNotNull(), F.col("n")))).first()
+    limit = max(1, (total or 0) / FREQUENT_KEYS)
+    frequent = []
+    if (most or 0) > limit:
+        frequent = [r[0] for r in per_key.filter((F.col("n") > limit) & F.col(key).isNotNull()).select(key).collect()]  # under FREQUENT_KEYS
     rest = right.hint("merge") if grows else right
     if not frequent:
         return left.join(rest, key, how)
@@ -84,6 +88,17 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return often.unionByName(seldom)
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system. The C library else keeps the gaps between what is still in use,
+    and they count against the driver's memory for the rest of its life."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass  # another C library than glibc
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df with every column computed once for each row. The optimizer inlines a column that is named once, even
     into a lambda, where it would be computed for each element; nothing is inlined through an explode."""

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrina.llm.common import scratch, shared_dir, texts_of
+from vitrina.llm.common import give_back, scratch, shared_dir, texts_of
 
 MAGIC = b"VTK1"
 #: Ids in a block: a checkpoint's 4 bytes are shared by so many ids.
@@ -365,6 +365,8 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, *, id_col
     tokens = sum(r["n"] for r in counted)
     parts = max(1, min(100_000, -(-tokens // PART_TOKENS)), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // 50_000)))
     name, shared = uuid.uuid4().hex, spark.sparkContext.broadcast((ids, lengths))
+    del counted, ids, lengths
+    give_back()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -415,6 +417,8 @@ def read_token_files(spark: SparkSession, path: str, *, with_ids: bool = False)
     """doc_id, start, n_tokens, ids_crc32 (and ids array<long>) of each document, from the files alone."""
     rows = spark.read.parquet(f"{path}/code").collect()  # vocabulary-sized
     name, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(([r["id"] for r in rows], [r["bits"] for r in rows]))
+    del rows
+    give_back()
     schema = T.StructType(DOC.fields + ([T.StructField("ids", T.ArrayType(T.LongType()))] if with_ids else []))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,15 +29,16 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, repeat
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrina.llm.common import map_rows, pack_row, scratch, texts_of, unpack_row
+from vitrina.llm.common import give_back, map_rows, pack_row, scratch, texts_of, unpack_row
 
 #: Every ASCII byte that is no letter or digit separates words; other bytes belong to words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -98,18 +99,19 @@ class Index:
         import numpy as np
 
         self.n, self.n_blocks = len(vectors), -(-len(vectors) // BLOCK)
-        terms = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        rows = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
+        terms = np.concatenate([v[0] for v in vectors]).astype(np.int32, copy=False) if vectors else np.zeros(0, np.int32)
+        rows = np.repeat(np.arange(self.n, dtype=np.int32), [len(v[0]) for v in vectors])
         weights = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
         often = np.flatnonzero(np.bincount(terms, minlength=n_terms) >= max(2.0, dense_share * self.n))
         self.column = np.full(n_terms, -1, np.int32)
         self.column[often] = np.arange(len(often))
         common = self.column[terms] >= 0
-        self.common = (len(often), self.column[terms[common]].astype(np.int32), rows[common].astype(np.int32), weights[common])
+        self.common = (len(often), self.column[terms[common]], rows[common], weights[common])
         self._matrix = None
         terms, rows, weights = terms[~common], rows[~common], weights[~common]
-        order = np.lexsort((rows, terms))
-        terms, self.rows, self.weights = terms[order], rows[order].astype(np.int32), weights[order]
+        order = np.argsort(terms, kind="stable")  # rows ascend already
+        terms, self.rows, self.weights = terms[order], rows[order], weights[order]
+        del common, rows, weights, order
         blocks = self.rows // BLOCK
         new = np.ones(len(terms), bool)
         new[1:] = (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])
@@ -184,29 +186,34 @@ class Index:
 class Model:
     """What scoring needs: term weights, index, labels, calibration. Its rows are bounded by the sample."""
 
-    def __init__(self, examples: list[tuple[int, int, int, bytes, bytes]], share: tuple[float, float], k: int, focus: float = FOCUS, smooth: float = SMOOTH) -> None:
-        """examples: (id, toxic, text_key, different words joined by spaces, their counts as 4-byte integers), see word_counts()."""
+    def __init__(self, examples: Iterable[tuple[int, int, int, bytes, bytes]], share: tuple[float, float], k: int, focus: float = FOCUS, smooth: float = SMOOTH) -> None:
+        """examples: (id, toxic, text_key, different words joined by spaces, their counts as 4-byte integers), see word_counts();
+        they are read once, and their words are not kept."""
         import numpy as np
 
         self.k = k
-        n = len(examples)
         number: dict[bytes, int] = {}
-        terms = [np.array([number.setdefault(w, len(number)) for w in words.split()], np.int64) for *_, words, _ in examples]
+        known: list[tuple[int, int, int]] = []
+        vectors: list[tuple] = []  # first of terms and counts
+        for doc_id, toxic, key, own, counts in examples:
+            known.append((doc_id, toxic, key))
+            vectors.append((np.array([number.setdefault(w, len(number)) for w in own.split()], np.int32), np.frombuffer(counts, "<i4")))
+        examples, n = known, len(known)
         self.number = number
         n_toxic = sum(x[1] for x in examples)
         n_clean = n - n_toxic
-        none = [np.zeros(0, np.int64)]
-        a, c = (np.bincount(np.concatenate(none + [t for t, x in zip(terms, examples, strict=True) if x[1] == y]), minlength=len(number)).astype(float) for y in (1, 0))
+        a, c = np.zeros(len(number)), np.zeros(len(number))
+        for (t, _), x in zip(vectors, examples, strict=True):
+            (a if x[1] == 1 else c)[t] += 1  # a text's terms are different
         odds = (a / max(1, n_toxic)) / ((c + smooth) / max(1, n_clean))
         relevance = np.log2(2 + odds) ** focus
         self.weight = (np.log((1 + n) / (1 + a + c)) + 1) * relevance
         #: Of a word that no example has: it meets nothing, but counts in a text's length.
         self.unknown = math.log(1 + n) + 1
-        vectors = []
-        for t, x in zip(terms, examples, strict=True):
+        for i, (t, counts) in enumerate(vectors):
             at = np.argsort(t)
-            w = ((1 + np.log(np.frombuffer(x[4], "<i4").astype(float))) * self.weight[t])[at]
-            vectors.append((t[at], w / math.sqrt(float((w * w).sum())) if len(w) else w))
+            w = ((1 + np.log(counts.astype(float))) * self.weight[t])[at]
+            vectors[i] = (t[at], w / math.sqrt(float((w * w).sum())) if len(w) else w)
         # similar examples side by side, so that whole blocks can be skipped: by the strongest of the common terms
         common = a + c >= max(2.0, COMMON_SHARE * n)
         lead = [int(t[best]) if len(t) and common[t[(best := int(np.argmax(w * common[t])))]] else -1 for t, w in vectors]
@@ -221,11 +228,18 @@ class Model:
         self.prior = sum(w for w, y in zip(self.stands_for, self.toxic, strict=True) if y) / total if total else 0.0
         vectors = [vectors[i] for i in order]
         self.index = Index(vectors, len(number))
+        give_back()
         self.curve = (1.0, 0.0)
         if 0 < n_toxic < n:
             self.curve = self._calibrate([self._votes(near) for near in self._neighbours([(*v, examples[i][2]) for v, i in zip(vectors, order, strict=True)])])
         self.cache: dict[int, tuple] = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"number": b" ".join(self.number), "cache": {}}  # words hold no space
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"number": {w: i for i, w in enumerate(state["number"].split())}})
+
     def vector(self, counts: dict[bytes, int]) -> tuple:
         """Known terms, ascending, and their weights in the unit vector of a text."""
         import numpy as np
@@ -336,15 +350,28 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, max_clean:
     sample = F.broadcast(sample)  # at most max_toxic + max_clean rows
     examples = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = word_counts(examples).collect()
-    found = sorted((r["doc_id"], r["toxic"], r["key"] + (1 << 63), bytes(r["words"]), bytes(r["counts"])) for r in rows)
-    n = Counter(y for _, y, *_ in found)
+    rows.sort(key=lambda r: r["doc_id"], reverse=True)  # different ids
+    n = Counter(r["toxic"] for r in rows)
     share = (of_class.get(0, 0) / max(1, n[0]), of_class.get(1, 0) / max(1, n[1]))
-    return Model(found, share, k)
+
+    def taken() -> Iterator[tuple]:
+        while rows:  # a row goes when it has been read
+            r = rows.pop()
+            yield r["doc_id"], r["toxic"], r["key"] + (1 << 63), bytes(r["words"]), bytes(r["counts"])
+
+    return Model(taken(), share, k)
+
+
+def fit_shared(docs: DataFrame, labels: DataFrame, **options) -> Broadcast:
+    """fit() as a broadcast variable. The driver keeps no model, and no memory that fitting took."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
+    give_back()
+    return shared
 
 
-def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.3, evidence: bool = True) -> DataFrame:
+def score(docs: DataFrame, model: Model | Broadcast, *, text_col: str = "text", threshold: float = 0.3, evidence: bool = True) -> DataFrame:
     """docs with score, predicted and evidence (the nearest examples; left out if they are not wanted)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model) if isinstance(model, Model) else model
 
     def make():
         own = shared.value
@@ -378,12 +405,12 @@ def held_out(doc_id: Column) -> Column:
 def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """What op2 returns."""
     texts = docs.select("doc_id", "text")
-    model = fit(texts, labels.select("doc_id", "toxic").filter(~held_out(F.col("doc_id"))))
+    model = fit_shared(texts, labels.select("doc_id", "toxic").filter(~held_out(F.col("doc_id"))))
     return score(texts, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted toxic; their own columns only."""
-    model = fit(docs, labels.select("doc_id", "toxic").filter(~held_out(F.col("doc_id"))))
+    model = fit_shared(docs, labels.select("doc_id", "toxic").filter(~held_out(F.col("doc_id"))))
     # scored beside the text under names of this operator's own, so that no column of docs is lost
     return unpack_row(score(pack_row(docs, "text"), model, evidence=False).filter("predicted = 0"), docs.columns, "text")
